@@ -1,10 +1,11 @@
 """The registered queries of the training-text operators and their SQL."""
 
-from . import chat_format, exact_dedup, mixing, sharding, token_counts, warc
+from . import chat_format, decontamination, exact_dedup, mixing, sharding, token_counts, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_sharding": sharding.op3_sharding,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op9_warc": warc.op9_warc,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_sharding": sharding.OP3_SQL,
+    "op4_decontamination": decontamination.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_chat_formatting": chat_format.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
