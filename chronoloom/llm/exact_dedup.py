@@ -2,13 +2,14 @@
 
 1. A first pass over the texts makes one small row per document (hash, size) and counts each
    hash. Only these small rows move, pre-aggregated in each task.
-2. A second pass joins the texts with those counts on the hash. A hash that one document has
+2. A second pass joins the texts with the hashes of several documents. A text of another hash
    is settled. The texts of the others, a small share, are kept in a written table.
 3. There the rows are grouped by hash *and bytes*, so two texts that share a hash by accident
    come apart. Each group keeps one row; members find it again by a join.
 
 A group may hold any share of all rows: grouping pre-aggregates in each task and both joins
-have one row per key on one side, so adaptive execution splits a hot key on the other.
+have one row per key on one side, a written table, so adaptive execution splits a hot key on
+the other.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ def exact_dedup(
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("size"),
         norm.alias("norm"),
     ).withColumn("hash", hashed(F.col("norm")))
-    counts = rows.groupBy("hash").agg(F.count("*").alias("n"))
-    joined = rows.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).join(counts, "hash")
+    shared = written(rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "exact-dedup-hashes")
+    joined = rows.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).join(shared, "hash", "left")
     marked = written(
         joined.select("id", "size", "hash", "text_sha256", F.when(F.col("n") > 1, F.col("norm")).alias("norm")),
         "exact-dedup",
@@ -66,7 +67,7 @@ def exact_dedup(
         F.max(F.struct("size", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("less"))).alias("best"),
         F.count("*").alias("group_size"),
     )
-    members = several.join(groups, ["hash", "norm"]).select(
+    members = several.join(written(groups, "exact-dedup-groups"), ["hash", "norm"]).select(
         "id", (-F.col("best.less")).alias("keep_id"), "group_size", "text_sha256"
     )
     alone = single.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256")
