@@ -1,13 +1,15 @@
 """The registered queries of the training-text operators and their SQL."""
 
-from . import chat_format, decontamination, exact_dedup, mixing, sharding, token_counts, warc
+from . import chat_format, decontamination, exact_dedup, language_id, mixing, quality, sharding, token_counts, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_language_id": language_id.op6_language_id,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
+    "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
