@@ -1,8 +1,9 @@
 """The registered queries of the training-text operators and their SQL."""
 
-from . import chat_format, decontamination, exact_dedup, language_id, mixing, quality, sharding, token_counts, warc
+from . import chat_format, decontamination, exact_dedup, language_id, mixing, near_dedup, quality, sharding, token_counts, warc
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontamination": decontamination.op4_decontamination,
