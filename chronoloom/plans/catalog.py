@@ -1,4 +1,9 @@
 """Registry of the timeline queries and the SQL they are held against."""
 
+from chronoloom.plans import speech
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for module in (speech,):
+    QUERIES |= module.Q
+    ORACLE_SQL |= module.SQL
