@@ -25,10 +25,13 @@ def remove_accents(x: Column) -> Column:
     return F.translate(x, ACCENTED, UNACCENTED)
 
 
-@F.pandas_udf("string")
-def remove_all_accents(x: pd.Series) -> pd.Series:
+def remove_all_accents(x: Column) -> Column:
     """Compatibility forms resolved and every combining mark dropped, in any script."""
-    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    return F.pandas_udf(plain, "string")(x)
 
 
 def remove_punctuation(x: Column) -> Column:

@@ -126,5 +126,5 @@ tok AS (
 
 EVENTS_SQL = """
 points AS (
-  SELECT user_id AS media_id, event_id, epoch_ms(ts) AS t_ms, event_type AS kind, value, props FROM events
+  SELECT user_id AS media_id, event_id, epoch_us(ts) // 1000 AS t_ms, event_type AS kind, value, props FROM events
 )"""
