@@ -47,7 +47,7 @@ def negation_mismatch(source: Column, target: Column) -> Column:
 
 def mentions(text: Column, name: Column) -> Column:
     """Whether a name is a whole word of the text, in any case."""
-    return F.lower(text).rlike(F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), F.lower(name), F.lit(r"\E($|[^\p{L}\p{N}_])")))
+    return F.rlike(F.lower(text), F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), F.lower(name), F.lit(r"\E($|[^\p{L}\p{N}_])")))
 
 
 def names_normalised(text: Column, variants: list[tuple[str, str]]) -> Column:

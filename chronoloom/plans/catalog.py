@@ -1,9 +1,9 @@
 """Registry of the timeline queries and the SQL they are held against."""
 
-from chronoloom.plans import editing, jobs, metrics, speech
+from chronoloom.plans import details, editing, jobs, metrics, speech
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (speech, editing, metrics, jobs):
+for module in (speech, editing, metrics, jobs, details):
     QUERIES |= module.Q
     ORACLE_SQL |= module.SQL
