@@ -129,7 +129,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank = np.where(zero, np.cumsum(zero) - 1, text.astype(np.int64) + n_zero)
     span, depth = int(rank.max()) + 1, 1
     key = rank
-    while depth < 4 and float(span) ** (depth + 1) < 2.0**62:
+    while depth < min(4, len(text)) and float(span) ** (depth + 1) < 2.0**62:
         shifted = np.zeros_like(rank)
         shifted[: len(rank) - depth] = rank[depth:]
         key = key * span + shifted

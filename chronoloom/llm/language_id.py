@@ -151,7 +151,8 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 if len(keys):
                     got = vectors.bundle(keys, counts)
                     totals[lang] = totals.get(lang, 0) + np.round(got / np.linalg.norm(got) * 1e6).astype(np.int64)
-        yield pd.DataFrame({"lang": list(totals), "vector": list(totals.values())})
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "vector": list(totals.values())})
 
     parts = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, vector array<long>")
     sums = parts.select("lang", F.posexplode("vector").alias("d", "v")).groupBy("lang", "d").agg(F.sum("v").alias("v"))
