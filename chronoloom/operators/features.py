@@ -10,7 +10,10 @@ from chronoloom.functions.text import MID_IDEA_WORDS, ends_sentence
 from chronoloom.operators.intervals import overlap_ms
 
 NEUTRAL, MAX_SINCE_ZOOM_MS, KEEP_PERCENT, MIN_PAUSE_MS = 5, 120_000, 50, 100
-_ORDER = W.partitionBy("media_id").orderBy("phrase")
+
+
+def _order():
+    return W.partitionBy("media_id").orderBy("phrase")
 
 
 def phrase_features(phrases: DataFrame) -> DataFrame:
@@ -21,14 +24,14 @@ def phrase_features(phrases: DataFrame) -> DataFrame:
     d = F.col("end_ms") - F.col("start_ms")
     whole = W.partitionBy("media_id")
     words = F.col("last") - F.col("first") + 1
-    mean = F.avg("score").over(_ORDER.rowsBetween(-1, 1))
+    mean = F.avg("score").over(_order().rowsBetween(-1, 1))
     return phrases.select(
         "media_id", "phrase", d.alias("duration_ms"), F.when(d > 0, F.floor(words * 60000 / d)).otherwise(0).cast("bigint").alias("words_per_minute"),
         F.coalesce("score", F.lit(NEUTRAL)).cast("bigint").alias("score"), F.floor(F.coalesce(mean, F.lit(NEUTRAL)) * 100).cast("bigint").alias("score_around"),
         F.floor(F.col("start_ms") * 1000 / F.max("end_ms").over(whole)).cast("bigint").alias("place"),
         F.col("text").contains("!").cast("int").alias("exclaims"), F.col("text").contains("?").cast("int").alias("asks"),
-        F.coalesce(F.col("start_ms") - F.lag("end_ms").over(_ORDER), F.lit(0)).alias("gap_before"),
-        F.coalesce(F.lead("start_ms").over(_ORDER) - F.col("end_ms"), F.lit(0)).alias("gap_after"),
+        F.coalesce(F.col("start_ms") - F.lag("end_ms").over(_order()), F.lit(0)).alias("gap_before"),
+        F.coalesce(F.lead("start_ms").over(_order()) - F.col("end_ms"), F.lit(0)).alias("gap_after"),
     )
 
 
@@ -36,8 +39,8 @@ def pause_features(phrases: DataFrame) -> DataFrame:
     """What stands around the pause after each phrase."""
     last = F.lower(F.regexp_replace(F.element_at(F.split("text", " "), -1), r"[^\p{L}\p{N}_]", ""))
     return phrases.select(
-        "media_id", "phrase", (F.lead("start_ms").over(_ORDER) - F.col("end_ms")).alias("pause_ms"), ends_sentence(F.col("text")).cast("int").alias("sentence_ends"),
-        last.isin(MID_IDEA_WORDS).cast("int").alias("connector_before"), F.coalesce(F.lead("score").over(_ORDER), F.lit(NEUTRAL)).cast("bigint").alias("score_after"),
+        "media_id", "phrase", (F.lead("start_ms").over(_order()) - F.col("end_ms")).alias("pause_ms"), ends_sentence(F.col("text")).cast("int").alias("sentence_ends"),
+        last.isin(MID_IDEA_WORDS).cast("int").alias("connector_before"), F.coalesce(F.lead("score").over(_order()), F.lit(NEUTRAL)).cast("bigint").alias("score_after"),
     ).filter(F.col("pause_ms") >= MIN_PAUSE_MS)
 
 
@@ -54,7 +57,7 @@ def zoom_examples(phrases: DataFrame, zooms: DataFrame) -> DataFrame:
     length = F.col("end_ms") - F.col("start_ms")
     zoomed = (F.col("covered_ms") > 0) & (F.col("covered_ms") * 10 >= F.least(length * 4, F.lit(5000)))
     marked = covered.withColumn("y", zoomed.cast("int"))
-    last = F.last(F.when(F.col("y") == 1, F.col("end_ms")), ignorenulls=True).over(_ORDER.rowsBetween(W.unboundedPreceding, -1))
+    last = F.last(F.when(F.col("y") == 1, F.col("end_ms")), ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, -1))
     since = F.least(F.coalesce(F.col("start_ms") - last, F.lit(MAX_SINCE_ZOOM_MS)), F.lit(MAX_SINCE_ZOOM_MS))
     return marked.select("media_id", "phrase", F.col("covered_ms").alias("zoom_ms"), "y", since.cast("bigint").alias("since_zoom_ms"))
 
