@@ -104,6 +104,8 @@ class Profiles:
 
     def __init__(self, names: list[str], vectors: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED):
         self.names, self.dimensions, self.seed = names, dimensions, seed
+        if not names:
+            return
         units = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         mean = units.mean(axis=0)
         self.shared = (mean / max(float(np.linalg.norm(mean)), 1e-9)).astype(np.float32)
