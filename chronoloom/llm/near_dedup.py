@@ -16,13 +16,16 @@ documents in `IDF_BUCKETS` hashed buckets, a table of fixed size.
    in 100,000 do); a weighted Jaccard similarity of `THRESHOLD` or more, of the whole texts, is a link.
 3. Links' connected components are found by alternating large and small stars. A bucket is open
    while its members are in several components. Then those outside its largest component meet
-   another pivot, of that component; if there are still a few of them (`FEW`), each of these
-   meets all members of other components, and the bucket is done. If there are many, the bucket
-   comes from a passage that unlike texts share; it goes on as buckets of two shared bands,
-   then three and so on. (Two of 16 bands are shared with a chance of 0.9998 at a similarity of 0.8.)
-
-So pairs grow with the number of members, not its square. Hot buckets and groups of copies:
-pivots are pre-aggregated minima; joins have one row per key on the other side, in a written
+   another pivot, of that component.
+4. Members of buckets that are still open, whatever their number, are joined exactly: all pairs of
+   different components of which `LEAST_SHARED` samples agree. Of two such sketches, the
+   48 - `LEAST_SHARED` + 1 rarest samples of one and the other have one in common, so texts that
+   share only a passage, whose samples are frequent, don't meet. Frequent samples are compared in
+   blocks. This is done in `WAVES` of falling agreement, so that most pairs of a
+   group of copies are in one component before they would be verified.
+
+Verified pairs grow with the number of members, and with members outside a group times those in it
+that are nearly as similar. Hot buckets and groups of copies: pivots are pre-aggregated minima; joins have one row per key on the other side, in a written
 table, so adaptive execution splits them. Only the df table (2 MB) reaches the driver.
 """
 
@@ -44,7 +47,11 @@ from .decontamination import WORD_BYTES
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, LEAST_SHARED = 16, 3, 26
 IDF_BUCKETS, IDF_BLOCK, IDF_SPAN = 1 << 18, 1 << 12, 0.25
-FEW, FEW_PAIRS = 8, 1 << 14
+FEW = 8
+#: Least agreeing samples in each wave of the exact join.
+WAVES = (38, 32, LEAST_SHARED)
+#: Members outside and inside a component that are compared in one block, and rows of blocks in a group.
+BLOCK, BLOCK_INSIDE, GROUP_ROWS = 256, 2048, 20_000
 SEED = 29
 #: Ready-drawn variables of the sampling; a hash of shingle and sample number chooses among them.
 DRAWS = 1 << 13
@@ -245,6 +252,60 @@ def _verifier(shared):
     return verify
 
 
+def _exploder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component, sketch) to a row per sample: its place and value as one number."""
+    places = np.arange(BANDS * ROWS, dtype=np.int64) << 16
+    for b in batches:
+        k = len(places)
+        tokens = (np.frombuffer(b"".join(b["sketch"]), np.uint16).reshape(-1, k) + places).ravel()
+        yield pd.DataFrame({"node": b["node"].repeat(k).to_numpy(), "component": b["component"].repeat(k).to_numpy(), "token": tokens})
+
+
+def _comparer(least: int, below: int):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of an outside and any member of a block, of different components, with `least` to `below` - 1 agreeing samples."""
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, BANDS * ROWS)
+        node, names = pd.factorize(rows["node"])
+        component, outside = pd.factorize(rows["component"])[0], rows["outside"].to_numpy()
+        pairs = [np.zeros(0, np.int64)]
+        for at in rows.groupby(["token", "block", "inside"]).indices.values():
+            others = at[~outside[at]]
+            there = sketches[others]
+            for i in at[outside[at]]:
+                n = (there == sketches[i]).sum(axis=1)
+                j = node[others[(n >= least) & (n < below) & (component[others] != component[i])]]
+                pairs.append(np.maximum(j, node[i]) * len(names) + np.minimum(j, node[i]))
+        found = np.unique(np.concatenate(pairs))
+        x, y = (np.array(names, object)[k] for k in np.divmod(found, len(names)))
+        swap = [p < q for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
+
+    return compare
+
+
+def alike_pairs(crowd: DataFrame, least: int, below: int = BANDS * ROWS + 1) -> DataFrame:
+    """All pairs (a > b) of (node, component, sketch) in different components with `least` to `below` - 1 agreeing samples."""
+    crowd = _kept(crowd, "crowd")
+    tokens = _kept(crowd.mapInPandas(_exploder, "node binary, component binary, token long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("uses")).filter("uses > 1")
+    each = W.partitionBy("node")
+    ranked = tokens.join(common, "token").withColumn("place", F.row_number().over(each.orderBy("uses", "token"))).withColumn("of", F.count("*").over(each))
+    # samples that no other has come first, so of `of` others all but the last least - 1 are among the rarest
+    rarest = _kept(ranked.filter(F.col("place") <= F.col("of") - least + 1).select("node", "component", "token"), "rarest")
+    parts = rarest.groupBy("token", "component").agg(F.count("*").alias("n"))
+    mixed_ = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
+    blocks = mixed_.select("token", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / BLOCK_INSIDE).alias("insides"))
+    met = rarest.join(_kept(blocks, "blocks"), "token")
+    block, inside = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("insides"))
+    lone = met.filter("component <> main").select("token", "node", F.lit(True).alias("outside"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("insides") - 1)).alias("inside"))
+    every = met.select("token", "node", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), inside.alias("inside"))
+    pieces = _kept(lone.unionByName(every), "pieces")
+    groups = max(64, pieces.count() // GROUP_ROWS)
+    dealt = pieces.join(crowd, "node").withColumn("group", F.pmod(F.xxhash64("token", "block", "inside"), F.lit(groups)))
+    compare = _comparer(least, below)
+    return dealt.groupBy("group").applyInPandas(lambda rows: compare(rows), "a binary, b binary").distinct()
+
+
 def _kept(df: DataFrame, label: str) -> DataFrame:
     """A written table of the rounds, whose rows are few and short: some files a core."""
     return written(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
@@ -309,47 +370,40 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     sketch = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("__a"))
     other = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("__b"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def verified(alike: DataFrame) -> DataFrame:
         """The pairs (a > b) that are links."""
-        alike = _kept(pairs.distinct().join(sketch, "a").join(other, "b").filter(agree("__a", "__b") >= LEAST_SHARED).select("a", "b"), "pairs")
+        alike = _kept(alike, "pairs")
         both = alike.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
         compared = both.select("a", "b", "text", "b_text").mapInPandas(_verifier(shared), "a binary, b binary, similarity double")
         return _kept(compared.filter(F.col("similarity") >= threshold).select("a", "b"), "links")
 
-    stars = components(linked(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-    members = members.select("key", "node", "band")
-    depth, tried = 1, False
-    while True:
+    def linked(pairs: DataFrame) -> DataFrame:
+        return verified(pairs.distinct().join(sketch, "a").join(other, "b").filter(agree("__a", "__b") >= LEAST_SHARED).select("a", "b"))
+
+    def with_components(df: DataFrame) -> DataFrame:
         found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        named = members.join(found, "node", "left").select("key", "node", "band", F.coalesce("component", "node").alias("component"))
+        return df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def still_open(members: DataFrame) -> DataFrame:
+        """Members of buckets in several components, with the largest of these and a pivot of it."""
+        named = with_components(members)
         parts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("p"))
-        open_ = _kept(
-            parts.groupBy("key")
-            .agg(F.max(F.struct("n", "component", "p")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-            .filter("parts > 1")
-            .select("key", "n", (F.col("n") - F.col("main.n")).alias("rest"), F.col("main.component").alias("main"), F.col("main.p.node").alias("pivot")),
-            "open-buckets",
-        )
-        if open_.isEmpty():
-            break
-        named = _kept(named.join(open_, "key"), "open-members")
-        outside = named.filter("component <> main")
-        if not tried:  # one more pivot, of the largest component
-            pairs = outside.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-            tried, members = True, named.select("key", "node", "band")
-        else:
-            # the few outside meet all; where there are many, members must share one more, later band
-            small = (F.col("rest") <= FEW) | (F.col("rest") * F.col("n") <= FEW_PAIRS) | F.lit(depth >= BANDS)
-            few = outside.filter(small).select("key", F.col("node").alias("one"), F.col("component").alias("own"))
-            met = named.filter(small).join(few, "key").filter("component <> own")
-            pairs = met.select(F.greatest("node", "one").alias("a"), F.least("node", "one").alias("b"))
-            later = every.select("node", F.col("key").alias("more"), F.col("band").alias("later"))
-            more = named.filter(~small).select("key", "node", "band").join(later, "node").filter("later > band")
-            members = _kept(more.select(F.xxhash64("key", "more").alias("key"), "node", F.col("later").alias("band")), f"members-{depth}")
-            tried, depth = False, depth + 1
-        new = linked(pairs)
+        buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component", "p")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+        return _kept(named.join(buckets.select("key", F.col("main.component").alias("main"), F.col("main.p.node").alias("pivot")), "key"), "open-members")
+
+    stars = components(linked(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
+    named = still_open(members.select("key", "node"))
+    new = linked(named.filter("component <> main").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
+    if not new.isEmpty():
+        stars = components(stars.union(new))
+    crowd, below = named.select("key", "node"), BANDS * ROWS + 1
+    for least in WAVES:
+        crowd = still_open(crowd).select("key", "node")
+        nodes_of = with_components(crowd.select("node").distinct())
+        new = verified(alike_pairs(nodes_of.join(nodes.select("node", "sketch"), "node"), least, below))
         if not new.isEmpty():
             stars = components(stars.union(new))
+        below = least
     found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     placed = written(signed.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("class")), "placed")
     classes = written(placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
