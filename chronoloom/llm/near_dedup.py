@@ -8,12 +8,13 @@ documents in `IDF_BUCKETS` hashed buckets, a table of fixed size.
 
 1. One pass counts df, another draws `BANDS * ROWS` samples per text by improved consistent
    weighted sampling (Ioffe 2010): two texts share a sample with a chance equal to their weighted
-   Jaccard similarity. A band's key is made of `ROWS` samples. Texts of equal words are one node.
+   Jaccard similarity. As many are drawn with all weights 1, for the plain similarity of the sets.
+   A band's key is made of `ROWS` samples of one measure. Texts of equal words are one node.
 2. Nodes that share a band key form a bucket. All are compared with one of them, the pivot: in a
    bucket of more than `FEW` the one whose buckets have most members in all, so the middle of a
    group of copies rather than one of its edges. A
-   pair goes on if `LEAST_SHARED` of the samples agree (at a similarity of 0.8 all but one pair
-   in 100,000 do); a weighted Jaccard similarity of `THRESHOLD` or more, of the whole texts, is a link.
+   pair goes on if `LEAST_SHARED` of the samples of a measure agree (at a similarity of 0.8 all but one
+   pair in 100,000 do); a Jaccard similarity of `THRESHOLD` or more of the whole texts, weighted or plain, is a link.
 3. Links' connected components are found by alternating large and small stars. A bucket is open
    while its members are in several components. Then those outside its largest component meet
    another pivot, of that component.
@@ -46,6 +47,8 @@ from .decontamination import WORD_BYTES
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, LEAST_SHARED = 16, 3, 26
+#: Weighted and plain: each has its samples and bands.
+MEASURES = 2
 IDF_BUCKETS, IDF_BLOCK, IDF_SPAN = 1 << 18, 1 << 12, 0.25
 FEW = 8
 #: Least agreeing samples in each wave of the exact join.
@@ -143,6 +146,11 @@ def bucket(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - IDF_BUCKETS.bit_length() + 1)).view(np.int64)
 
 
+def both_samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Samples of the weighted shingles, then of the plain ones."""
+    return np.concatenate((samples(keys, weights), samples(mixed(keys), np.ones(len(keys), np.float32))))
+
+
 def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One weighted sample (a shingle and its level, hashed) for each of the draws."""
     k = BANDS * ROWS
@@ -166,18 +174,19 @@ def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sample: np.ndarray) -> list[int]:
-    bands = np.arange(BANDS, dtype=np.uint64)
-    for column in sample.reshape(BANDS, ROWS).T:
+    bands = np.arange(len(sample) // ROWS, dtype=np.uint64)
+    for column in sample.reshape(-1, ROWS).T:
         bands = mixed(bands * _BASE + column)
     return bands.view(np.int64).tolist()
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard: the smaller weights over the larger ones."""
+    """Weighted Jaccard (the smaller weights over the larger ones) or that of the plain sets, whichever is more."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
     total = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - low
-    return low / total if total > 0 else 0.0
+    plain = len(i) / max(1, len(a[0]) + len(b[0]) - len(i))
+    return max(low / total if total > 0 else 0.0, plain)
 
 
 def lowered(text: Column) -> Column:
@@ -217,7 +226,7 @@ def _signer(shared):
             nodes, bands, sketches = [], [], []
             for text in batch["text"]:
                 words = word_hashes(text)
-                found = samples(*idf.vector(words)) if len(words) else None
+                found = both_samples(*idf.vector(words)) if len(words) else None
                 nodes.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
                 bands.append(band_keys(found) if len(words) else [])
                 sketches.append(found.astype(np.uint16).tobytes() if len(words) else None)
@@ -227,11 +236,11 @@ def _signer(shared):
 
 
 def shared_samples(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many samples of two sketches agree."""
+    """How many samples of two sketches agree, in the measure in which most do."""
     if not len(a):
         return pd.Series([], dtype=np.int32)
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, BANDS * ROWS) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, MEASURES, BANDS * ROWS) for s in (a, b))
+    return pd.Series((x == y).sum(axis=2).max(axis=1).astype(np.int32))
 
 
 def _verifier(shared):
@@ -253,18 +262,18 @@ def _verifier(shared):
 
 
 def _exploder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, component, sketch) to a row per sample: its place and value as one number."""
-    places = np.arange(BANDS * ROWS, dtype=np.int64) << 16
+    """(node, component, sketch) to a row per sample: its measure, and its place and value as one number."""
+    places = np.arange(MEASURES * BANDS * ROWS, dtype=np.int64) << 16
     for b in batches:
         k = len(places)
         tokens = (np.frombuffer(b"".join(b["sketch"]), np.uint16).reshape(-1, k) + places).ravel()
-        yield pd.DataFrame({"node": b["node"].repeat(k).to_numpy(), "component": b["component"].repeat(k).to_numpy(), "token": tokens})
+        yield pd.DataFrame({"node": b["node"].repeat(k).to_numpy(), "component": b["component"].repeat(k).to_numpy(), "measure": (tokens >> 16) // (BANDS * ROWS), "token": tokens})
 
 
 def _comparer(least: int, below: int):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs of an outside and any member of a block, of different components, with `least` to `below` - 1 agreeing samples."""
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, BANDS * ROWS)
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, MEASURES, BANDS * ROWS)
         node, names = pd.factorize(rows["node"])
         component, outside = pd.factorize(rows["component"])[0], rows["outside"].to_numpy()
         pairs = [np.zeros(0, np.int64)]
@@ -272,7 +281,7 @@ def _comparer(least: int, below: int):
             others = at[~outside[at]]
             there = sketches[others]
             for i in at[outside[at]]:
-                n = (there == sketches[i]).sum(axis=1)
+                n = (there == sketches[i]).sum(axis=2).max(axis=1)
                 j = node[others[(n >= least) & (n < below) & (component[others] != component[i])]]
                 pairs.append(np.maximum(j, node[i]) * len(names) + np.minimum(j, node[i]))
         found = np.unique(np.concatenate(pairs))
@@ -286,9 +295,9 @@ def _comparer(least: int, below: int):
 def alike_pairs(crowd: DataFrame, least: int, below: int = BANDS * ROWS + 1) -> DataFrame:
     """All pairs (a > b) of (node, component, sketch) in different components with `least` to `below` - 1 agreeing samples."""
     crowd = _kept(crowd, "crowd")
-    tokens = _kept(crowd.mapInPandas(_exploder, "node binary, component binary, token long"), "tokens")
+    tokens = _kept(crowd.mapInPandas(_exploder, "node binary, component binary, measure long, token long"), "tokens")
     common = tokens.groupBy("token").agg(F.count("*").alias("uses")).filter("uses > 1")
-    each = W.partitionBy("node")
+    each = W.partitionBy("node", "measure")
     ranked = tokens.join(common, "token").withColumn("place", F.row_number().over(each.orderBy("uses", "token"))).withColumn("of", F.count("*").over(each))
     # samples that no other has come first, so of `of` others all but the last least - 1 are among the rarest
     rarest = _kept(ranked.filter(F.col("place") <= F.col("of") - least + 1).select("node", "component", "token"), "rarest")

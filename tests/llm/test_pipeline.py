@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from chronoloom.llm import decontamination, mixing, near_dedup, sharding
 from tests.llm.test_native_ops import DOCS, brute_mix, save
-from tests.llm.test_python_ops import BENCH, WORDS, prose
+from tests.llm.test_python_ops import BENCH, WORDS, classes_by_brute_force, prose
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +92,14 @@ def test_stages(spark, corpus):
     assert len(placed) == sum(copies.values()) and all(0 <= r.shard < sharding.N_SHARDS for r in placed)
 
 
+def test_near_dedup_links_at_a_plain_similarity(spark, corpus):
+    """As the stage was tested before its weights came in: the corpus has a pair at a plain 0.8 that they leave below."""
+    folder, rows = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text rlike '[a-zA-Z]'")
+    left = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, folder).collect())
+    assert left == sorted(set(classes_by_brute_force([(i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or "")]).values()))
+
+
 def test_run_gives_the_stages(spark, corpus):
     folder, _ = corpus
     got = sorted((r.doc_id, r.shard) for r in corpus_pipeline.run(spark, folder).collect())

@@ -196,23 +196,40 @@ def test_near_duplicates_of_odd_rows(spark):
 def test_alike_pairs_are_all_found(spark, monkeypatch):
     """The exact join of open buckets gives each pair that brute force gives, however its blocks are cut."""
     rng = np.random.default_rng(6)
-    common, rows = rng.integers(0, 1 << 16, (4, 48), np.uint16), []
+    common, rows = rng.integers(0, 1 << 16, (4, 96), np.uint16), []
     for i in range(400):  # four groups, whose members share half to all of their samples
         sketch = common[i % 4].copy()
-        lost = rng.random(48) < rng.choice([0.05, 0.3, 0.5])
+        lost = rng.random(96) < np.repeat(rng.choice([0.05, 0.3, 0.5], 2), 48)
         sketch[lost] = rng.integers(0, 1 << 16, int(lost.sum()), np.uint16)
         rows.append((bytearray(f"n{i:015}".encode()), bytearray(f"c{i % 4 if i % 3 else i:015}".encode()), bytearray(sketch.tobytes())))
     crowd = spark.createDataFrame(rows, "node binary, component binary, sketch binary")
-    sketches = [np.frombuffer(r[2], np.uint16) for r in rows]
+    sketches = [np.frombuffer(r[2], np.uint16).reshape(2, 48) for r in rows]
     for blocks in (near_dedup.BLOCK, 7):
         monkeypatch.setattr(near_dedup, "BLOCK", blocks)
         monkeypatch.setattr(near_dedup, "BLOCK_INSIDE", 2 * blocks)
         for least, below in ((26, 49), (26, 32)):
-            want = {(i, j) for j, i in itertools.combinations(range(len(rows)), 2) if rows[i][1] != rows[j][1] and least <= (sketches[i] == sketches[j]).sum() < below}
+            want = {(i, j) for j, i in itertools.combinations(range(len(rows)), 2) if rows[i][1] != rows[j][1] and least <= (sketches[i] == sketches[j]).sum(axis=1).max() < below}
             got = [(int(bytes(r.a)[1:]), int(bytes(r.b)[1:])) for r in near_dedup.alike_pairs(crowd, least, below).collect()]
             assert want and len(got) == len(want) and set(got) == want
 
 
+def test_plain_similarity_links_too(spark):
+    """Pairs at a plain 0.80 to 0.83, in which what differs weighs more, by rarity or as it's repeated."""
+    rng, rows = random.Random(14), []
+    for i in range(60):
+        base = prose(304, rng)
+        edited = list(base)
+        for at in range(20, 300, 50):  # 30 of 300 shingles
+            edited[at] = "edited"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+    for i in range(60, 80):
+        base, line = prose(200, rng), prose(15, rng)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + line * 30))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = classes_by_brute_force(rows)
+    assert {r.doc_id: r.class_id for r in got} == want and len(set(want.values())) == 80
+
+
 def test_weights_count_repeats(spark):
     rows = [(1, LONG), (2, LONG + "end"), (3, LONG[: len(LONG) // 2])]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
