@@ -349,10 +349,18 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     are separate rows, but which is kept goes by the id; a null id comes last in its class.
     Other columns don't matter. An empty table gives an empty result.
     """
+    return _classified(df, text_col, id_col, threshold).drop("__raw")
+
+
+def raw_hash(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _classified(df: DataFrame, text_col: str, id_col: str, threshold: float) -> DataFrame:
+    """`near_duplicates` with the hash of each row's text, `__raw`."""
     require(df, text_col, id_col)
     spark = df.sparkSession
-    raw = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    rows = df.select(F.col(id_col).alias("id"), raw.alias("raw"), lowered(F.col(text_col)).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("raw"), lowered(F.col(text_col)).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(learn_idf(rows.select("text")))
     signed = written(rows.mapInPandas(_signer(shared), f"id {kind}, raw binary, node binary, bands array<long>, sketch binary"), "signatures")
@@ -414,17 +422,18 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
             stars = components(stars.union(new))
         below = least
     found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    placed = written(signed.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("class")), "placed")
+    placed = written(signed.select("id", "raw", "node").join(found, "node", "left").select("id", "raw", F.coalesce("component", "node").alias("class")), "placed")
     classes = written(placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    alone = placed.filter("class IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
-    out = placed.join(classes, "class").select("id", "class_id", "class_size").unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    alone = placed.filter("class IS NULL").select("id", "raw", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    out = placed.join(classes, "class").select("id", "raw", "class_id", "class_size").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("raw").alias("__raw"))
 
 
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of `df` that are kept; columns stay as they are. Rows with a null id stay."""
-    dropped = written(near_duplicates(df, text_col, id_col).filter("NOT kept").select(id_col).distinct(), "dropped")
-    return df.join(dropped, id_col, "left_anti").select(*df.columns)
+    """The rows of `df` that are kept; columns stay as they are. Of rows that repeat an id, those go whose own text is a copy."""
+    gone = _classified(df, text_col, id_col, THRESHOLD).filter("NOT kept").select(F.col(id_col).alias("__id"), "__raw").distinct()
+    dropped = written(gone, "dropped")
+    return df.join(dropped, F.col(id_col).eqNullSafe(F.col("__id")) & (raw_hash(F.col(text_col)) == F.col("__raw")), "left_anti").select(*df.columns)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

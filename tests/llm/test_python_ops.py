@@ -230,6 +230,12 @@ def test_plain_similarity_links_too(spark):
     assert {r.doc_id: r.class_id for r in got} == want and len(set(want.values())) == 80
 
 
+def test_rows_of_an_id_go_by_their_own_text(spark):
+    rows = [(1, "one text of some words"), (2, "one text of some words"), (2, "another that is not a copy"), (None, "one text of some words"), (None, "a third that none repeats")]
+    kept = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in (rows[0], rows[2], rows[4]))
+
+
 def test_weights_count_repeats(spark):
     rows = [(1, LONG), (2, LONG + "end"), (3, LONG[: len(LONG) // 2])]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
