@@ -100,6 +100,21 @@ def test_near_dedup_links_at_a_plain_similarity(spark, corpus):
     assert left == sorted(set(classes_by_brute_force([(i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or "")]).values()))
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    rng = random.Random(31)
+    letters = {"en": "etaoinshrdlu", "pt": "aeosrindmçãv"}
+    words = {k: ["".join(rng.choices(c, k=rng.randint(2, 7))) for _ in range(150)] for k, c in letters.items()}
+    rows = [(i, " ".join(rng.choices(words[k], k=40)), k, "a", 0) for i in range(4000) for k in [("en", "pt")[i % 2]]]
+    rows += [(5000 + i, "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(60)), None, "a", 0) for i in range(20)]
+    left = {r.doc_id for r in corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert sum(i < 4000 for i in left) >= 4000 * 0.995 and sum(i >= 5000 for i in left) <= 2
+
+
+def test_language_stage_without_a_language_keeps_letters(spark):
+    rows = [(1, "some words", None, "a", 0), (2, "é", None, "a", 0), (3, "12 ...", None, "a", 0), (4, None, None, "a", 0), (5, "日本", None, "a", 0)]
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()} == {1, 2, 5}
+
+
 def test_run_gives_the_stages(spark, corpus):
     folder, _ = corpus
     got = sorted((r.doc_id, r.shard) for r in corpus_pipeline.run(spark, folder).collect())
