@@ -1,60 +1,57 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Words are lower-cased runs of digits, letters and signs above ASCII. Shingles are five words (all
-of a shorter text). A shingle's weight is (1 + ln tf) * idf; idf falls from 1 + `IDF_SPAN` to 1 as
-ln df rises from 0 to ln N. It's damped because a plain idf would weigh what copies share by how
-many copies there are, and so tear large groups of copies apart. df is counted over all
-documents in `IDF_BUCKETS` hashed buckets, a table of fixed size.
+of a shorter text). A shingle's weight is (1 + ln tf) * idf; idf rises from 1 to 1 + `IDF_SPAN` as
+the share of documents with the shingle falls from 1 to `RARE`. It depends on shares alone, so it
+is alike in corpora of any size, and it's bounded, as otherwise what the members of a large group
+of copies share would weigh next to nothing and the group would fall apart. df is counted over all
+documents in `IDF_BUCKETS` hashed buckets, a table of fixed size; what falls in a bucket by chance is
+some 500 shingles a document over 262,144 buckets, a share well below `RARE` at any corpus size.
 
 1. One pass counts df, another draws `BANDS * ROWS` samples per text by improved consistent
    weighted sampling (Ioffe 2010): two texts share a sample with a chance equal to their weighted
-   Jaccard similarity. As many are drawn with all weights 1, for the plain similarity of the sets.
+   Jaccard similarity. As many are drawn by plain min-hashing, for the similarity of the sets.
    A band's key is made of `ROWS` samples of one measure. Texts of equal words are one node.
-2. Nodes that share a band key form a bucket. All are compared with one of them, the pivot: in a
-   bucket of more than `FEW` the one whose buckets have most members in all, so the middle of a
-   group of copies rather than one of its edges. A
-   pair goes on if `LEAST_SHARED` of the samples of a measure agree (at a similarity of 0.8 all but one
-   pair in 100,000 do); a Jaccard similarity of `THRESHOLD` or more of the whole texts, weighted or plain, is a link.
-3. Links' connected components are found by alternating large and small stars. A bucket is open
-   while its members are in several components. Then those outside its largest component meet
-   another pivot, of that component.
-4. Members of buckets that are still open, whatever their number, are joined exactly: all pairs of
-   different components of which `LEAST_SHARED` samples agree. Of two such sketches, the
-   48 - `LEAST_SHARED` + 1 rarest samples of one and the other have one in common, so texts that
-   share only a passage, whose samples are frequent, don't meet. Frequent samples are compared in
-   blocks. This is done in `WAVES` of falling agreement, so that most pairs of a
-   group of copies are in one component before they would be verified.
-
-Verified pairs grow with the number of members, and with members outside a group times those in it
-that are nearly as similar. Hot buckets and groups of copies: pivots are pre-aggregated minima; joins have one row per key on the other side, in a written
-table, so adaptive execution splits them. Only the df table (2 MB) reaches the driver.
+2. Nodes that share a band key form a bucket; of buckets with the same nodes one is kept.
+   A bucket is dealt into blocks of at most about `MEMBERS` nodes and `BLOCK_BYTES` of text. In a
+   block all pairs are compared exactly, on whole texts: shared weights are summed shingle by
+   shingle, for shingles of many members as a product of matrices. A weighted or plain Jaccard
+   similarity of `THRESHOLD` or more is a link. A block gives no pairs but a star for each of
+   its connected groups, so rows never outnumber the block's nodes.
+3. Links' connected components are found by alternating large and small stars.
+4. Buckets of several blocks whose nodes are still in several components: each block of nodes
+   outside the bucket's largest component meets each block of the bucket, by the same comparison.
+
+So every two texts that share a band are compared or already connected, whatever the size of
+their bucket; two texts at 0.8 in a measure share one of its 16 bands with a chance of 0.99999.
+Only the df table (2 MB) reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import require, table, written
 from .decontamination import WORD_BYTES
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS, LEAST_SHARED = 16, 3, 26
-#: Weighted and plain: each has its samples and bands.
-MEASURES = 2
-IDF_BUCKETS, IDF_BLOCK, IDF_SPAN = 1 << 18, 1 << 12, 0.25
-FEW = 8
-#: Least agreeing samples in each wave of the exact join.
-WAVES = (38, 32, LEAST_SHARED)
-#: Members outside and inside a component that are compared in one block, and rows of blocks in a group.
-BLOCK, BLOCK_INSIDE, GROUP_ROWS = 256, 2048, 20_000
+BANDS, ROWS = 16, 3
+IDF_BUCKETS, IDF_BLOCK, IDF_SPAN, RARE = 1 << 18, 1 << 12, 1.0, 0.01
+#: Nodes, and bytes of their texts, that are compared in one block.
+MEMBERS, BLOCK_BYTES = 2048, 8 << 20
+#: Shingles of a block in one product of matrices, and pairs that are counted at once.
+SLAB, PAIRS = 4096, 1 << 21
+#: Rows of a block whose similarities are worked out at once.
+STRIP = 256
+#: Weighted similarities this close to the threshold are computed again in double precision.
+CLOSE = 1e-4
 SEED = 29
 #: Ready-drawn variables of the sampling; a hash of shingle and sample number chooses among them.
 DRAWS = 1 << 13
@@ -91,18 +88,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words in order: polynomials in the letters. A word of over 64 KB counts as several."""
+    """64-bit hashes of the words in order: polynomials in the letters."""
     plain = text.translate(WORD_BYTES)
-    if len(plain) > PIECE:
-        parts, at = [], 0
-        while at < len(plain):
-            end = min(len(plain), at + PIECE)
-            if end < len(plain) and (space := plain.rfind(b" ", at, end)) > at:
-                end = space
-            parts.append(_hashed(plain[at:end]))
-            at = end
-        return np.concatenate(parts)
-    return _hashed(plain)
+    if len(plain) <= PIECE:
+        return _hashed(plain)
+    parts, at = [], 0
+    while at < len(plain):
+        end = min(len(plain), at + PIECE)
+        if end < len(plain):
+            end = plain.rfind(b" ", at, end)
+            if end <= at:  # a word of more than a piece, or none before it
+                end = plain.find(b" ", at + 1)
+                end = len(plain) if end < 0 else end
+        parts.append(_hashed(plain[at:end]) if end - at <= PIECE else _long_word(plain[at:end].strip()))
+        at = end
+    return np.concatenate(parts)
+
+
+def _long_word(word: bytes) -> np.ndarray:
+    """The same polynomial of one word of any length, piece by piece."""
+    total = 0
+    for i in range(0, len(word), PIECE):
+        total += int(_hashed(word[i : i + PIECE])[0]) * pow(int(_BASE), i, 1 << 64)
+    return np.array([total % (1 << 64)], np.uint64)
 
 
 def _hashed(plain: bytes) -> np.ndarray:
@@ -134,8 +142,8 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Idf:
     def __init__(self, counts: np.ndarray, docs: int):
-        top = np.log(max(docs, 2))
-        self.weights = (1 + IDF_SPAN * (1 - np.clip(np.log(np.maximum(counts, 1)) / top, 0, 1))).astype(np.float32)
+        share = np.maximum(counts, 1) / max(docs, 1)
+        self.weights = (1 + IDF_SPAN * np.clip(np.log(share) / np.log(RARE), 0, 1)).astype(np.float32)
 
     def vector(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, tf = shingles(words)
@@ -148,7 +156,16 @@ def bucket(keys: np.ndarray) -> np.ndarray:
 
 def both_samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Samples of the weighted shingles, then of the plain ones."""
-    return np.concatenate((samples(keys, weights), samples(mixed(keys), np.ones(len(keys), np.float32))))
+    return np.concatenate((samples(keys, weights), plain_samples(keys)))
+
+
+def plain_samples(keys: np.ndarray) -> np.ndarray:
+    """The least of the shingles, hashed, under each of as many orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    spread = mixed(keys + _BASE)
+    for i in range(0, len(keys), 1024):
+        np.minimum(least, (spread[None, i : i + 1024] * _MULTIPLIERS[:, None]).min(axis=1), out=least)
+    return mixed(least)
 
 
 def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -220,99 +237,129 @@ def learn_idf(texts: DataFrame) -> Idf:
 
 
 def _signer(shared):
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for batch in batches:
-            nodes, bands, sketches = [], [], []
-            for text in batch["text"]:
-                words = word_hashes(text)
-                found = both_samples(*idf.vector(words)) if len(words) else None
+            nodes, bands, sizes = [], [], []
+            for text in batch.column("text"):
+                data = text.as_py()
+                words = word_hashes(data)
+                sizes.append(len(data))
                 nodes.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
-                bands.append(band_keys(found) if len(words) else [])
-                sketches.append(found.astype(np.uint16).tobytes() if len(words) else None)
-            yield batch[["id", "raw"]].assign(node=nodes, bands=bands, sketch=sketches)
+                bands.append(band_keys(both_samples(*idf.vector(words))) if len(words) else [])
+            made = [pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), *made], ["id", "raw", "node", "bands", "bytes"])
 
     return sign
 
 
-def shared_samples(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many samples of two sketches agree, in the measure in which most do."""
-    if not len(a):
-        return pd.Series([], dtype=np.int32)
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, MEASURES, BANDS * ROWS) for s in (a, b))
-    return pd.Series((x == y).sum(axis=2).max(axis=1).astype(np.int32))
-
-
-def _verifier(shared):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, kept = shared.value, OrderedDict()
-
-        def vector(node: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-            found = kept.pop(node, None)
-            kept[node] = found = found or idf.vector(word_hashes(text))
-            if len(kept) > 256:
-                kept.popitem(last=False)
-            return found
-
-        for b in batches:
-            sims = [similarity(vector(n, t), vector(p, q)) for n, p, t, q in zip(b["a"], b["b"], b["text"], b["b_text"], strict=True)]
-            yield b[["a", "b"]].assign(similarity=sims)
-
-    return verify
-
-
-def _exploder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, component, sketch) to a row per sample: its measure, and its place and value as one number."""
-    places = np.arange(MEASURES * BANDS * ROWS, dtype=np.int64) << 16
-    for b in batches:
-        k = len(places)
-        tokens = (np.frombuffer(b"".join(b["sketch"]), np.uint16).reshape(-1, k) + places).ravel()
-        yield pd.DataFrame({"node": b["node"].repeat(k).to_numpy(), "component": b["component"].repeat(k).to_numpy(), "measure": (tokens >> 16) // (BANDS * ROWS), "token": tokens})
-
-
-def _comparer(least: int, below: int):
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of an outside and any member of a block, of different components, with `least` to `below` - 1 agreeing samples."""
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, MEASURES, BANDS * ROWS)
-        node, names = pd.factorize(rows["node"])
-        component, outside = pd.factorize(rows["component"])[0], rows["outside"].to_numpy()
-        pairs = [np.zeros(0, np.int64)]
-        for at in rows.groupby(["token", "block", "inside"]).indices.values():
-            others = at[~outside[at]]
-            there = sketches[others]
-            for i in at[outside[at]]:
-                n = (there == sketches[i]).sum(axis=2).max(axis=1)
-                j = node[others[(n >= least) & (n < below) & (component[others] != component[i])]]
-                pairs.append(np.maximum(j, node[i]) * len(names) + np.minimum(j, node[i]))
-        found = np.unique(np.concatenate(pairs))
-        x, y = (np.array(names, object)[k] for k in np.divmod(found, len(names)))
-        swap = [p < q for p, q in zip(x, y, strict=True)]
-        return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
-
-    return compare
-
-
-def alike_pairs(crowd: DataFrame, least: int, below: int = BANDS * ROWS + 1) -> DataFrame:
-    """All pairs (a > b) of (node, component, sketch) in different components with `least` to `below` - 1 agreeing samples."""
-    crowd = _kept(crowd, "crowd")
-    tokens = _kept(crowd.mapInPandas(_exploder, "node binary, component binary, measure long, token long"), "tokens")
-    common = tokens.groupBy("token").agg(F.count("*").alias("uses")).filter("uses > 1")
-    each = W.partitionBy("node", "measure")
-    ranked = tokens.join(common, "token").withColumn("place", F.row_number().over(each.orderBy("uses", "token"))).withColumn("of", F.count("*").over(each))
-    # samples that no other has come first, so of `of` others all but the last least - 1 are among the rarest
-    rarest = _kept(ranked.filter(F.col("place") <= F.col("of") - least + 1).select("node", "component", "token"), "rarest")
-    parts = rarest.groupBy("token", "component").agg(F.count("*").alias("n"))
-    mixed_ = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
-    blocks = mixed_.select("token", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / BLOCK_INSIDE).alias("insides"))
-    met = rarest.join(_kept(blocks, "blocks"), "token")
-    block, inside = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("insides"))
-    lone = met.filter("component <> main").select("token", "node", F.lit(True).alias("outside"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("insides") - 1)).alias("inside"))
-    every = met.select("token", "node", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), inside.alias("inside"))
-    pieces = _kept(lone.unionByName(every), "pieces")
-    groups = max(64, pieces.count() // GROUP_ROWS)
-    dealt = pieces.join(crowd, "node").withColumn("group", F.pmod(F.xxhash64("token", "block", "inside"), F.lit(groups)))
-    compare = _comparer(least, below)
-    return dealt.groupBy("group").applyInPandas(lambda rows: compare(rows), "a binary, b binary").distinct()
+def features(words: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each occurrence of a shingle as a number, its share of the weight, and whether it's the first.
+
+    Two texts with tf and tf' occurrences have the first min(tf, tf') in common, whose shares add
+    up to the smaller weight, as ln tf is the sum of ln(i / (i - 1)).
+    """
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, bool)
+    keys, tf = shingles(words)
+    each = np.repeat(keys, tf)
+    level = np.arange(1, len(each) + 1) - np.repeat(np.cumsum(tf) - tf, tf)
+    first = level == 1
+    share = np.where(first, 1.0, np.log(level / np.maximum(level - 1, 1))).astype(np.float32)
+    return np.where(first, each, mixed(each + level.astype(np.uint64) * _BASE)), share * idf.weights[bucket(each)], first
+
+
+def shared_sums(who: np.ndarray, starts: np.ndarray, counts: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """n x n sums of the weights that two have in common, above the diagonal.
+
+    `who`: members column by column, ascending; each column begins at `starts` and has `counts`.
+    """
+    total = np.zeros((n, n), np.float32)
+    dense = counts > max(4, n // 8)
+    columns = np.flatnonzero(dense)
+    for i in range(0, len(columns), SLAB):
+        some = columns[i : i + SLAB]
+        k = counts[some]
+        at = np.repeat(starts[some] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        there = np.zeros((n, len(some)), np.float32)
+        there[who[at], np.repeat(np.arange(len(some)), k)] = 1
+        total += (there * weights[some]) @ there.T
+    flat = total.reshape(-1)
+    for k in np.unique(counts[~dense & (counts > 1)]).tolist():
+        columns = np.flatnonzero(~dense & (counts == k))
+        x, y = np.triu_indices(k, 1)
+        step = max(1, PAIRS // len(x))
+        for i in range(0, len(columns), step):
+            some = columns[i : i + step]
+            members = who[starts[some][:, None] + np.arange(k)].astype(np.int64)
+            codes = (members[:, x] * n + members[:, y]).ravel()
+            each = np.repeat(weights[some], len(x))
+            if len(codes) * 8 > n * n:
+                flat += np.bincount(codes, each, n * n).astype(np.float32)
+            else:
+                np.add.at(flat, codes, each)
+    return np.triu(total, 1)
+
+
+def linked_groups(words: list[np.ndarray], idf: Idf, threshold: float) -> list[list[int]]:
+    """Groups of two or more texts, given by their words' hashes, that links connect; all pairs are compared."""
+    n = len(words)
+    if n == 2:
+        return [[0, 1]] if similarity(idf.vector(words[0]), idf.vector(words[1])) >= threshold else []
+    parts = [features(w, idf) for w in words]
+    sizes = np.array([len(p[0]) for p in parts])
+    who = np.repeat(np.arange(n), sizes)
+    keys, weights, first = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    weight, plain = np.bincount(who, weights, n), np.bincount(who, first, n)
+    order = np.argsort(keys, kind="stable")
+    keys, who, weights, first = keys[order], who[order], weights[order], first[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(np.append(starts, len(keys)))
+    low = shared_sums(who, starts, counts, weights[starts], n)
+    level_1 = first[starts]
+    both = shared_sums(who, starts[level_1], counts[level_1], np.ones(int(level_1.sum()), np.float32), n)
+    links = np.zeros((n, n), bool)
+    for i in range(0, n, STRIP):
+        x, y = low[i : i + STRIP].astype(np.float64), both[i : i + STRIP].astype(np.float64)
+        weighted = x / np.maximum(weight[i : i + STRIP, None] + weight[None, :] - x, 1e-30)
+        found = y / np.maximum(plain[i : i + STRIP, None] + plain[None, :] - y, 1) >= threshold
+        found |= weighted >= threshold + CLOSE
+        for j, k in np.argwhere((np.abs(weighted - threshold) < CLOSE) & ~found).tolist():
+            found[j, k] = similarity(idf.vector(words[i + j]), idf.vector(words[k])) >= threshold
+        links[i : i + STRIP] = found
+    links |= links.T
+    groups, left = [], links.any(axis=1)
+    while left.any():
+        frontier = group = np.flatnonzero(left)[:1]
+        left[frontier] = False
+        while len(frontier):
+            frontier = np.flatnonzero(links[frontier].any(axis=0) & left)
+            left[frontier] = False
+            group = np.concatenate((group, frontier))
+        groups.append(group.tolist())
+    return groups
+
+
+def _linker(shared, threshold: float):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (block, node, text), those of a block together, to a star (a, b) for each of its groups."""
+        idf, block, texts = shared.value, None, {}
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            nodes = list(texts)
+            for group in linked_groups([texts[x] for x in nodes], idf, threshold) if len(nodes) > 1 else []:
+                b, *rest = sorted(nodes[i] for i in group)
+                yield pa.RecordBatch.from_arrays([pa.array(rest, pa.binary()), pa.array([b] * len(rest), pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for name, node, text in zip(batch.column("block"), batch.column("node"), batch.column("text"), strict=True):
+                if block is None or name.as_py() != block:
+                    yield from stars()
+                    block, texts = name.as_py(), {}
+                texts[node.as_py()] = word_hashes(text.as_py())
+        yield from stars()
+
+    return link
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
@@ -363,72 +410,61 @@ def _classified(df: DataFrame, text_col: str, id_col: str, threshold: float) ->
     rows = df.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("raw"), lowered(F.col(text_col)).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(learn_idf(rows.select("text")))
-    signed = written(rows.mapInPandas(_signer(shared), f"id {kind}, raw binary, node binary, bands array<long>, sketch binary"), "signatures")
+    signed = written(rows.mapInArrow(_signer(shared), f"id {kind}, raw binary, node binary, bands array<long>, bytes long"), "signatures")
     nodes = written(
         signed.filter("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(F.struct("id", "raw")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .select("node", "at.*", "bands", "sketch"),
+        .agg(F.min(F.struct("id", "raw")).alias("at"), F.first("bands").alias("bands"), F.max("bytes").alias("bytes"))
+        .select("node", "at.*", "bands", "bytes"),
         "nodes",
     )
-    every = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    counts = written(every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1"), "bands")
-    members = written(every.join(counts, "key"), "band-members")
-    large = members.filter(F.col("n") > FEW)
-    central = large.groupBy("node").agg(F.sum("n").alias("weight"))
-    centres = written(large.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best")).select("key", "best.node"), "centres")
-    members = members.join(centres.withColumnRenamed("node", "centre"), "key", "left").withColumn("pivot", F.coalesce("centre", "first"))
+    every = nodes.select("node", "bytes", F.explode("bands").alias("key"))
+    alike = F.bit_xor(F.xxhash64("node")).alias("alike")
+    buckets = every.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), alike).filter("n > 1")
+    distinct = buckets.groupBy("n", "size", "alike").agg(F.min("key").alias("key"))
+    parts = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("size") / BLOCK_BYTES)).alias("parts")
+    members = written(every.join(distinct.select("key", parts), "key").select("key", "node", "bytes", "parts"), "members")
     chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("__id"), F.col("raw").alias("__raw"))
-    texts = written(
-        rows.join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("raw") == F.col("__raw"))).select("node", "text").dropDuplicates(["node"]),
-        "candidate-texts",
-    )
-    agree = F.pandas_udf(shared_samples, "int")
-    sketch = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("__a"))
-    other = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("__b"))
-
-    def verified(alike: DataFrame) -> DataFrame:
-        """The pairs (a > b) that are links."""
-        alike = _kept(alike, "pairs")
-        both = alike.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        compared = both.select("a", "b", "text", "b_text").mapInPandas(_verifier(shared), "a binary, b binary, similarity double")
-        return _kept(compared.filter(F.col("similarity") >= threshold).select("a", "b"), "links")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return verified(pairs.distinct().join(sketch, "a").join(other, "b").filter(agree("__a", "__b") >= LEAST_SHARED).select("a", "b"))
-
-    def with_components(df: DataFrame) -> DataFrame:
+    at = F.col("id").eqNullSafe(F.col("__id")) & (F.col("raw") == F.col("__raw"))
+    texts = rows.join(chosen, at).select("node", "text").dropDuplicates(["node"])
+    wide = members.filter("parts > 1")
+    several = not wide.isEmpty()
+    if several:
+        texts = written(texts, "candidate-texts")
+
+    def linked(blocks: DataFrame) -> DataFrame:
+        """Rows (block, node) to the stars of the linked groups of each block."""
+        dealt = blocks.join(texts, "node").select("block", "node", "text").repartition("block").sortWithinPartitions("block")
+        return _kept(dealt.mapInArrow(_linker(shared, threshold), "a binary, b binary"), "links")
+
+    stars = components(linked(members.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"), "node")))
+    if several:
         found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        return df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    def still_open(members: DataFrame) -> DataFrame:
-        """Members of buckets in several components, with the largest of these and a pivot of it."""
-        named = with_components(members)
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("p"))
-        buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component", "p")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-        return _kept(named.join(buckets.select("key", F.col("main.component").alias("main"), F.col("main.p.node").alias("pivot")), "key"), "open-members")
-
-    stars = components(linked(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-    named = still_open(members.select("key", "node"))
-    new = linked(named.filter("component <> main").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
-    if not new.isEmpty():
-        stars = components(stars.union(new))
-    crowd, below = named.select("key", "node"), BANDS * ROWS + 1
-    for least in WAVES:
-        crowd = still_open(crowd).select("key", "node")
-        nodes_of = with_components(crowd.select("node").distinct())
-        new = verified(alike_pairs(nodes_of.join(nodes.select("node", "sketch"), "node"), least, below))
-        if not new.isEmpty():
-            stars = components(stars.union(new))
-        below = least
+        stars = components(stars.union(linked(_crossed(wide.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))))))
     found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     placed = written(signed.select("id", "raw", "node").join(found, "node", "left").select("id", "raw", F.coalesce("component", "node").alias("class")), "placed")
-    classes = written(placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    classes = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     alone = placed.filter("class IS NULL").select("id", "raw", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
     out = placed.join(classes, "class").select("id", "raw", "class_id", "class_size").unionByName(alone)
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("raw").alias("__raw"))
 
 
+def _crossed(members: DataFrame) -> DataFrame:
+    """(key, node, bytes, component) of buckets dealt into blocks to (block, node): in buckets of several components
+    each part of the nodes outside the largest one with each part of the whole bucket."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    totals = [F.max(F.struct("n", "component", "size")).alias("main"), F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("size").alias("size")]
+    open_ = sizes.groupBy("key").agg(*totals).filter("components > 1")
+    half = lambda n, size: F.greatest(F.ceil(n * 2 / MEMBERS), F.ceil(size * 2 / BLOCK_BYTES))
+    outer = half(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    plan = open_.select("key", F.col("main.component").alias("main"), outer.alias("outer"), half(F.col("n"), F.col("size")).alias("inner"))
+    dealt = members.join(_kept(plan, "open-buckets"), "key")
+    rest, hashed = dealt.filter("component <> main"), F.xxhash64("node")
+    outside = rest.select("key", "node", F.pmod(hashed, "outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j"))
+    inside = dealt.select("key", "node", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.pmod(hashed, "inner").alias("j"))
+    return outside.unionByName(inside).select(F.xxhash64("key", "i", "j").alias("block"), "node").distinct()
+
+
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `df` that are kept; columns stay as they are. Of rows that repeat an id, those go whose own text is a copy."""
     gone = _classified(df, text_col, id_col, THRESHOLD).filter("NOT kept").select(F.col(id_col).alias("__id"), "__raw").distinct()

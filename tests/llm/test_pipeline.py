@@ -33,19 +33,20 @@ def corpus(spark, tmp_path_factory):
     return folder, rows
 
 
-def weighted_classes(rows):
-    """Connected components at a weighted Jaccard similarity of 0.8, all pairs compared; ids are the smallest."""
+def brute_classes(rows):
+    """Connected components at a weighted or plain Jaccard similarity of 0.8, all pairs compared; ids are the smallest."""
     counts = []
     for _, t in rows:
         w = decontamination.words_of((t or "").lower().encode())
         counts.append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {})
     df = collections.Counter(g for c in counts for g in c)
-    idf = lambda g: 1 + near_dedup.IDF_SPAN * (1 - math.log(df[g]) / math.log(len(rows)))
+    idf = lambda g: 1 + near_dedup.IDF_SPAN * min(1, math.log(df[g] / len(rows)) / math.log(near_dedup.RARE))
     vectors = [{g: (1 + math.log(n)) * idf(g) for g, n in c.items()} for c in counts]
     at = {i: i for i, _ in rows}
     for ((i, _), a), ((j, _), b) in itertools.combinations(zip(rows, vectors, strict=True), 2):
         low = sum(min(a[g], b[g]) for g in a.keys() & b.keys())
-        if low and low >= 0.8 * (sum(a.values()) + sum(b.values()) - low):
+        both = len(a.keys() & b.keys())
+        if low and (low >= 0.8 * (sum(a.values()) + sum(b.values()) - low) or both / (len(a) + len(b) - both) >= 0.8):
             x, y = at[i], at[j]
             at = {k: min(x, y) if v in (x, y) else v for k, v in at.items()}
     return at
@@ -64,7 +65,7 @@ def test_stages(spark, corpus):
 
     unique = stages["near_dedup"](spark, kept, folder)
     left = sorted(r.doc_id for r in unique.collect())
-    assert unique.columns == docs.columns and left == sorted(set(weighted_classes([(i, text[i]) for i in ids]).values()))
+    assert unique.columns == docs.columns and left == sorted(set(brute_classes([(i, text[i]) for i in ids]).values()))
 
     clean = stages["decontamination"](spark, unique, folder)
     items = [decontamination.words_of((t or "").encode()) for i, t in BENCH if i is not None]

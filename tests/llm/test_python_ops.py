@@ -193,24 +193,54 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_alike_pairs_are_all_found(spark, monkeypatch):
-    """The exact join of open buckets gives each pair that brute force gives, however its blocks are cut."""
-    rng = np.random.default_rng(6)
-    common, rows = rng.integers(0, 1 << 16, (4, 96), np.uint16), []
-    for i in range(400):  # four groups, whose members share half to all of their samples
-        sketch = common[i % 4].copy()
-        lost = rng.random(96) < np.repeat(rng.choice([0.05, 0.3, 0.5], 2), 48)
-        sketch[lost] = rng.integers(0, 1 << 16, int(lost.sum()), np.uint16)
-        rows.append((bytearray(f"n{i:015}".encode()), bytearray(f"c{i % 4 if i % 3 else i:015}".encode()), bytearray(sketch.tobytes())))
-    crowd = spark.createDataFrame(rows, "node binary, component binary, sketch binary")
-    sketches = [np.frombuffer(r[2], np.uint16).reshape(2, 48) for r in rows]
-    for blocks in (near_dedup.BLOCK, 7):
-        monkeypatch.setattr(near_dedup, "BLOCK", blocks)
-        monkeypatch.setattr(near_dedup, "BLOCK_INSIDE", 2 * blocks)
-        for least, below in ((26, 49), (26, 32)):
-            want = {(i, j) for j, i in itertools.combinations(range(len(rows)), 2) if rows[i][1] != rows[j][1] and least <= (sketches[i] == sketches[j]).sum(axis=1).max() < below}
-            got = [(int(bytes(r.a)[1:]), int(bytes(r.b)[1:])) for r in near_dedup.alike_pairs(crowd, least, below).collect()]
-            assert want and len(got) == len(want) and set(got) == want
+def edits(rng: random.Random, n: int, groups: int, most: int) -> list[str]:
+    """Groups of texts with 0 to `most` edits each, some with repeated ends: many pairs are near 0.8, on either side."""
+    texts = []
+    for g in range(groups):
+        base = prose(rng.randint(3, 130), rng)
+        for _ in range(n // groups):
+            copy = list(base)
+            for _ in range(rng.randint(0, most)):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            texts.append(" ".join(copy + copy[-8:] * (rng.randint(1, 9) if rng.random() < 0.2 else 0)))
+    return texts
+
+
+@pytest.mark.parametrize("n, groups", [(2, 1), (3, 1), (40, 3), (300, 2)])
+def test_groups_of_a_block_against_brute_force(monkeypatch, n, groups):
+    idf = near_dedup.Idf(np.random.default_rng(1).integers(1, 4000, near_dedup.IDF_BUCKETS), 10_000)
+    words = [near_dedup.word_hashes(t.encode()) for t in edits(random.Random(n), n, groups, 5)]
+    vectors = [idf.vector(w) for w in words]
+    at = list(range(len(words)))
+    for i, j in itertools.combinations(range(len(words)), 2):
+        if at[i] != at[j] and near_dedup.similarity(vectors[i], vectors[j]) >= 0.8:
+            at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+    want = sorted(g for x in set(at) if len(g := [i for i, y in enumerate(at) if x == y]) > 1)
+    assert sorted(map(sorted, near_dedup.linked_groups(words, idf, 0.8))) == want
+    for name, size in (("SLAB", 7), ("PAIRS", 50), ("STRIP", 3)):
+        monkeypatch.setattr(near_dedup, name, size)
+    assert sorted(map(sorted, near_dedup.linked_groups(words, idf, 0.8))) == want
+
+
+def test_classes_do_not_depend_on_blocks(spark, monkeypatch):
+    """Groups with many members around 0.8 and chains give the brute-force classes in one block and in blocks of 8."""
+    rows = list(enumerate(edits(random.Random(15), 160, 4, 4)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_duplicates(df).collect()}
+    assert len({c for c, n in want.values() if n > 8}) > 1 and sum(n == 1 for _, n in want.values()) > 10
+    plain = classes_by_brute_force(rows)
+    assert all(want[i][0] == want[j][0] for i, j in plain.items())
+    monkeypatch.setattr(near_dedup, "MEMBERS", 8)
+    assert {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_duplicates(df).collect()} == want
+
+
+def test_ids_keep_their_digits(spark):
+    top = (1 << 63) - 1
+    rows = [(top, "a b c d e f"), (top - 1, "a b c d e f g h i j k l"), (None, "other words than these")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {top, top - 1, None} and all(r.kept for r in got)
+    named = spark.createDataFrame([("b", "same words"), ("a", "same words")], "doc_id string, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(named).collect()} == {("a", "a"), ("b", "a")}
 
 
 def test_plain_similarity_links_too(spark):
@@ -257,6 +287,12 @@ def test_samples_agree_as_similarity_says():
     assert abs(np.mean(same) - np.mean(sims)) < 0.02
 
 
+def test_long_words_are_one_word():
+    word = b"ab" * 50_000
+    assert len(near_dedup.word_hashes(b"x " + word + b" y " + word + b"z")) == 4
+    assert near_dedup.word_hashes(b"x " + word)[1] == near_dedup.word_hashes(word + b" y")[0] != near_dedup.word_hashes(word + b"b")[0]
+
+
 def test_word_hashes_do_not_depend_on_the_place():
     text = " ".join(WORDS * 8).encode()
     seen = {}
