@@ -380,7 +380,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         return down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least).filter("a <> b").distinct()
 
-    edges = _kept(edges.filter("a <> b"), "edges")
+    edges = _kept(edges.filter("a <> b").distinct(), "edges")
     while True:
         edges = _kept(small(_kept(large(edges), "stars")), "edges")
         # done when each node has one edge and no centre has any
@@ -435,7 +435,7 @@ def _classified(df: DataFrame, text_col: str, id_col: str, threshold: float) ->
     def linked(blocks: DataFrame) -> DataFrame:
         """Rows (block, node) to the stars of the linked groups of each block."""
         dealt = blocks.join(texts, "node").select("block", "node", "text").repartition("block").sortWithinPartitions("block")
-        return _kept(dealt.mapInArrow(_linker(shared, threshold), "a binary, b binary"), "links")
+        return written(dealt.mapInArrow(_linker(shared, threshold), "a binary, b binary"), "links")
 
     stars = components(linked(members.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"), "node")))
     if several:
