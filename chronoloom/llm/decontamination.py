@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,40 +222,70 @@ class Matcher:
         return hits, spans, items
 
 
-def _blocks(pairs: DataFrame, max_pairs: int) -> Iterator:
+def _blocks(pairs: DataFrame, max_pairs: int) -> list:
     """The (window, item) pairs in broadcast blocks of about `max_pairs` at most."""
-    blocks = max(1, -(-pairs.count() // max_pairs))
+    blocks, out = max(1, -(-pairs.count() // max_pairs)), []
     for b in range(blocks):
         block = pairs.filter(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == b).collect()
-        yield pairs.sparkSession.sparkContext.broadcast(sorted((r.window, r.item) for r in block))
+        out.append(pairs.sparkSession.sparkContext.broadcast(sorted((r.window, r.item) for r in block)))
+    return out
+
+
+def _shards(batches: Iterator[pa.RecordBatch], text_col: str, matcher: Matcher, shard_words: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Rows, as parts of batches, and their words' numbers, shard by shard. A shard ends after the row that fills it."""
+    rows, docs, size = [], [], 0
+    for batch in batches:
+        first = 0
+        for i, text in enumerate(batch.column(batch.schema.get_field_index(text_col))):
+            docs.append(matcher.numbers((text.as_py() or "").encode()))
+            size += len(docs[-1]) + 1
+            if size >= shard_words:
+                yield [*rows, batch.slice(first, i + 1 - first)], docs
+                rows, docs, size, first = [], [], 0, i + 1
+        if first < batch.num_rows:
+            rows.append(batch.slice(first))
+    if docs:
+        yield rows, docs
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
 
+def _searcher(shared, shard_words: int, last: bool):
+    """(id, text, spans, items) with what this pass finds added; the last pass leaves the text out."""
 
-def _searcher(shared, shard_words: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
-        docs, rows, size = [], [], 0
-
-        def out() -> pd.DataFrame:
-            hits, spans, items = matcher.search(docs)
-            return pd.DataFrame(rows, columns=["row", "id"]).assign(
-                n_words=[len(d) for d in docs], n_hit=hits, spans=[[{"first": b, "end": e} for b, e in s] for s in spans], items=items
-            )
-
-        for batch in batches:
-            for row, name, text in zip(batch["row"].tolist(), batch["id"].tolist(), batch["text"], strict=True):
-                docs.append(matcher.numbers(text))
-                rows.append((row, name))
-                size += len(docs[-1]) + 1
-                if size >= shard_words:
-                    yield out()
-                    docs, rows, size = [], [], 0
-        if docs:
-            yield out()
+        for rows, docs in _shards(batches, "text", matcher, shard_words):
+            _, spans, items = matcher.search(docs)
+            at = 0
+            for batch in rows:
+                some = range(at, at + batch.num_rows)
+                at += batch.num_rows
+                old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+                made = [
+                    pa.array([len(docs[i]) for i in some], pa.int64()),
+                    pa.array([joined_spans([*((s["first"], s["end"]) for s in old or []), *spans[i]]) for i, old in zip(some, old_spans, strict=True)], SPANS),
+                    pa.array([sorted({*(old or []), *items[i]}) for i, old in zip(some, old_items, strict=True)], pa.list_(pa.string())),
+                ]
+                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
+                yield pa.RecordBatch.from_arrays([batch.column("id"), text, *made], ["id", "text", "n_words", "spans", "items"])
 
     return search
 
 
-FOUND = "row long, id {id}, n_words long, n_hit long, spans array<struct<first: long, end: long>>, items array<string>"
+def joined_spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Spans in order, without overlaps; spans that touch become one."""
+    out: list[dict[str, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"first": first, "end": end})
+    return out
+
+
+FOUND = "id {id}, text string, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
 
 
 def find_contamination(
@@ -280,52 +310,24 @@ def find_contamination(
     require(df, id_col, text_col)
     require(benchmark, item_col, item_text_col)
     schema = FOUND.format(id=df.schema[id_col].dataType.simpleString())
-    texts = df.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    )
-    passes = [texts.mapInPandas(_searcher(b, shard_words), schema) for b in _blocks(windows(benchmark, item_col, item_text_col, window), max_pairs)]
-    found = passes[0]
-    if len(passes) > 1:
-        for one in passes[1:]:
-            found = found.unionByName(one)
-        found = (
-            found.groupBy("row", "id")
-            .agg(
-                F.max("n_words").alias("n_words"),
-                F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            )
-            .withColumn("spans", merged_spans(F.col("spans")))
-            .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"]))
-        )
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "items")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("spans", "array<struct<first: long, end: long>>"), ("items", "array<string>"))]
+    found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *none)
+    blocks = _blocks(windows(benchmark, item_col, item_text_col, window), max_pairs)
+    for k, block in enumerate(blocks, 1):
+        found = found.select("id", "text", "spans", "items").mapInArrow(_searcher(block, shard_words, k == len(blocks)), schema)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 def _sieve(shared, shard_words: int, text_col: str):
-    def sieve(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
-
-        def clean() -> Iterator:
-            hits, _, _ = matcher.search(docs)
-            mask, at = np.array(hits) == 0, 0
-            for batch in held:
-                yield batch.filter(pa.array(mask[at : at + batch.num_rows]))
+        for rows, docs in _shards(batches, text_col, matcher, shard_words):
+            clean, at = np.array(matcher.search(docs)[0]) == 0, 0
+            for batch in rows:
+                yield batch.filter(pa.array(clean[at : at + batch.num_rows]))
                 at += batch.num_rows
 
-        docs, held, size = [], [], 0
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            held.append(batch)
-            docs += [matcher.numbers((t.as_py() or "").encode()) for t in texts]
-            size += sum(len(d) + 1 for d in docs[-batch.num_rows :]) if batch.num_rows else 0
-            if size >= shard_words:
-                yield from clean()
-                docs, held, size = [], [], 0
-        if docs:
-            yield from clean()
-
     return sieve
 
 
@@ -341,8 +343,8 @@ def remove_contaminated(
 ) -> DataFrame:
     """The rows of `df` without a benchmark window in their text; columns stay as they are.
 
-    Rows pass through the search in their own task, so texts aren't shuffled. Null and empty
-    texts stay.
+    Rows pass through the search in their own task, so texts aren't shuffled; a task holds one
+    shard's rows. Null and empty texts stay. An empty benchmark leaves all rows.
     """
     require(df, text_col)
     for block in _blocks(windows(benchmark, item_col, item_text_col, window), max_pairs):
@@ -350,21 +352,6 @@ def remove_contaminated(
     return df
 
 
-def merged_spans(spans: Column) -> Column:
-    """Sorted spans without overlaps; spans that touch become one."""
-    start = F.lit(None).cast("array<struct<first: bigint, end: bigint>>")
-    empty = F.coalesce(start, F.array().cast("array<struct<first: bigint, end: bigint>>"))
-
-    def add(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        joined = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (s["first"] <= last["end"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(
-            F.concat(done, F.array(s))
-        )
-
-    return F.aggregate(spans, empty, add)
-
-
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
