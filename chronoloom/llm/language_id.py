@@ -25,10 +25,10 @@ from .common import fold, require, seeded, seeded_number, table
 
 DIMENSIONS = 1024
 TRAIN_PER_LANGUAGE = 4000
-#: At most so many languages, so that the prototypes have a bound (4 KB each).
+#: More languages than this are an error, so that the prototypes have a bound (4 KB each).
 MAX_LANGUAGES = 10_000
-#: Trigram vectors that a worker keeps, 4 KB each.
-CACHED = 20_000
+#: Trigram vectors that a worker keeps, 4 KB each, and how many are summed at once.
+CACHED, AT_ONCE = 20_000, 2048
 SEED = 11
 UNKNOWN = "und"
 
@@ -80,8 +80,8 @@ class Space:
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the trigrams' vectors, each times its count."""
         total = np.zeros(self.dimensions, np.float32)
-        for i in range(0, len(keys), CACHED // 2):
-            some = keys[i : i + CACHED // 2].tolist()
+        for i in range(0, len(keys), AT_ONCE):
+            some = keys[i : i + AT_ONCE].tolist()
             missing = [k for k in some if k not in self.place]
             if len(self.place) + len(missing) > CACHED:
                 self.place.clear()
@@ -90,7 +90,7 @@ class Space:
                 self.rows[len(self.place)] = self.trigram(k)
                 self.place[k] = len(self.place)
             at = np.fromiter(map(self.place.__getitem__, some), np.int64, len(some))
-            total += counts[i : i + CACHED // 2].astype(np.float32) @ self.rows[at]
+            total += counts[i : i + AT_ONCE].astype(np.float32) @ self.rows[at]
         return total
 
 
@@ -136,9 +136,12 @@ class Profiles:
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = TRAIN_PER_LANGUAGE) -> Profiles:
     """Profiles from the rows of `df` that have a language. Rows are sampled by a hash of the id,
-    with a rate for each language that leaves about `most` of them."""
+    with a rate for each language that leaves about `most` of them. More than `MAX_LANGUAGES`
+    languages are an error; without any there are no profiles, and all texts are `und`."""
     known = df.filter(F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(lang_col).limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Profiles([], np.zeros((0, DIMENSIONS)))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most / v))]), F.col(lang_col))
