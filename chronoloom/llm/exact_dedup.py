@@ -64,11 +64,11 @@ def exact_dedup(
     )
     single, several = marked.filter("norm IS NULL"), marked.filter("norm IS NOT NULL")
     groups = several.groupBy("hash", "norm").agg(
-        F.max(F.struct("size", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("less"))).alias("best"),
+        F.min(F.struct((-F.col("size")).alias("less"), F.col("id").isNull().alias("unknown"), "id")).alias("best"),
         F.count("*").alias("group_size"),
     )
     members = several.join(written(groups, "exact-dedup-groups"), ["hash", "norm"]).select(
-        "id", (-F.col("best.less")).alias("keep_id"), "group_size", "text_sha256"
+        "id", F.col("best.id").alias("keep_id"), "group_size", "text_sha256"
     )
     alone = single.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256")
     return alone.unionByName(members).select(

@@ -73,6 +73,12 @@ def test_dedup_odd_rows(spark, tmp_path, duck):
     assert by[1] == by[2] == by[9] == by[10] == 1 and by[3] == by[4] == by[5] == 5 and by[8] == 8 and by[7] == by[6] == 6
 
 
+def test_dedup_of_named_rows(spark):
+    rows = [("b", "same text"), ("a", "same text"), ("c", "same  text"), (None, "sametext"), ("d", "other")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, "c", 4) for i in ("a", "b", "c", None)} | {("d", "d", 1)}
+
+
 def test_dedup_with_colliding_hashes(spark):
     from pyspark.sql import functions as F
 
