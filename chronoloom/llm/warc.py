@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +27,11 @@ from .common import require, shared_dir, table, written
 
 #: Bytes of a payload in one row, of a part that one task reads, and after which a new archive begins.
 CHUNK, PART, ARCHIVE = 1 << 18, 64 << 20, 1 << 30
-#: Rows in a batch between Spark and Python: 64 MB at most.
-BATCH_ROWS = 256
 URN = "urn:chronoloom:page:"
 DATE = "1970-01-01T00:00:00Z"
 
 WRITTEN = "file string, first long, length long, records long"
+WRITTEN_FIELDS = pa.schema([("file", pa.string()), ("first", pa.int64()), ("length", pa.int64()), ("records", pa.int64())])
 CHUNKS = (
     "page_id long, record_type string, target_uri string, refers_to long, declared_digest string, "
     "chunk long, data binary, payload_bytes long, payload_digest string, last boolean"
@@ -88,28 +87,28 @@ def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
-def _head(row) -> bytes:
+def _head(row: dict) -> bytes:
     """Header of the record and of the response in it."""
-    body = int(row.payload_bytes) if row.record_type == "response" else 0
+    body = row["payload_bytes"] if row["record_type"] == "response" else 0
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {body}\r\n\r\n".encode()
-    name = "" if pd.isna(row.page_id) else int(row.page_id)
+    name = "" if row["page_id"] is None else row["page_id"]
     fields = [
-        ("WARC-Type", row.record_type),
+        ("WARC-Type", row["record_type"]),
         ("WARC-Record-ID", f"<{URN}{name}>"),
         ("WARC-Date", DATE),
-        ("WARC-Payload-Digest", f"sha1:{row.digest}"),
+        ("WARC-Payload-Digest", f"sha1:{row['digest']}"),
     ]
-    if row.url is not None:
-        fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02X}", row.url)))
-    if not pd.isna(row.refers_to):
-        fields.append(("WARC-Refers-To", f"<{URN}{int(row.refers_to)}>"))
+    if row["url"] is not None:
+        fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02X}", row["url"])))
+    if row["refers_to"] is not None:
+        fields.append(("WARC-Refers-To", f"<{URN}{row['refers_to']}>"))
         fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + body))]
     return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + http
 
 
 def _writer(directory: str, archive: int, part: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(directory)
@@ -121,16 +120,20 @@ def _writer(directory: str, archive: int, part: int):
             out.write(data)
             return len(data)
 
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(WRITTEN_FIELDS.names, p, strict=True)) for p in parts], WRITTEN_FIELDS)
+
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.chunk == 0:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()  # one chunk at a time
+                if row["chunk"] == 0:
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         out, at, first, records = files.open_output_stream(f"{root}/{name}", compression=None), 0, 0, 0
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                     at += put(packer.compress(_head(row)))
-                at += put(packer.compress(row.data))
-                if row.last:
+                at += put(packer.compress(row["data"]))
+                if row["last"]:
                     at += put(packer.compress(b"\r\n\r\n") + packer.flush())
                     records += 1
                     if at - first >= part or at >= archive:
@@ -139,13 +142,13 @@ def _writer(directory: str, archive: int, part: int):
                     if at >= archive:
                         out.close()
                         out = None
-                        yield pd.DataFrame(parts, columns=["file", "first", "length", "records"])
+                        yield told()
                         parts = []
         if out is not None:
             out.close()
             if records:
                 parts.append((name, first, at - first, records))
-            yield pd.DataFrame(parts, columns=["file", "first", "length", "records"])
+            yield told()
 
     return write
 
@@ -156,22 +159,7 @@ def write_archives(records: DataFrame, directory: str, chunk: int = CHUNK, archi
 
     files, root = fs.FileSystem.from_uri(directory)
     files.create_dir(root, recursive=True)
-    with _small_batches(records.sparkSession):
-        return written(chunked(records, chunk).mapInPandas(_writer(directory, archive, part), WRITTEN), "warc-parts")
-
-
-class _small_batches:
-    """Batches between Spark and Python of few rows, as each can hold a large chunk."""
-
-    def __init__(self, spark: SparkSession):
-        self.conf, self.key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-    def __enter__(self):
-        self.before = self.conf.get(self.key)
-        self.conf.set(self.key, str(BATCH_ROWS))
-
-    def __exit__(self, *_):
-        self.conf.set(self.key, self.before)
+    return written(chunked(records, chunk).mapInArrow(_writer(directory, archive, part), WRITTEN), "warc-parts")
 
 
 class _Members:
@@ -258,42 +246,41 @@ def read_records(source, length: int, chunk: int = CHUNK) -> Iterator[tuple]:
             raise ValueError("a record is longer than it says")
 
 
+KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+CHUNK_FIELDS = pa.schema([(name, KINDS[kind]) for name, kind in (x.split() for x in CHUNKS.split(", "))])
+
+
 def _reader(directory: str, chunk: int):
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(CHUNK_FIELDS.names, r, strict=True)) for r in rows], CHUNK_FIELDS)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(directory)
-        for batch in batches:
-            for part in batch.itertuples(index=False):
-                with files.open_input_file(f"{root}/{part.file}") as source:
-                    source.seek(part.first)
-                    rows, size = [], 0
-                    for row in read_records(source, part.length, chunk):
-                        rows.append(row)
-                        size += len(row[6]) + 200
-                        if size >= 16 << 20:
-                            yield _frame(rows, names)
-                            rows, size = [], 0
-                    if rows:
-                        yield _frame(rows, names)
+        for part in (p for batch in batches for p in batch.to_pylist()):
+            with files.open_input_file(f"{root}/{part['file']}") as source:
+                source.seek(part["first"])
+                rows, size = [], 0
+                for row in read_records(source, part["length"], chunk):
+                    rows.append(row)
+                    size += len(row[6]) + 200
+                    if size >= 16 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     return read
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
 def read_archives(parts: DataFrame, directory: str, chunk: int = CHUNK) -> DataFrame:
     """The chunk table (CHUNKS) of the archives that `parts` lists; each part is read by one task.
 
     payload_bytes and payload_digest cover the payload up to and with the row's chunk.
     """
     spread = parts.repartition(max(1, parts.sparkSession.sparkContext.defaultParallelism) * 4, "file", "first")
-    return spread.mapInPandas(_reader(directory, chunk), CHUNKS)
+    return spread.mapInArrow(_reader(directory, chunk), CHUNKS)
 
 
 def archive_pages(df: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
