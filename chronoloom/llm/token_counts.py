@@ -11,10 +11,14 @@ Why a state suffices: in BPE, the tokens of a prefix of a word are the tokens of
 prefix and one more, and which one is decided by pairs of neighbours alone. `fits` decides it for
 a pair by undoing merges, latest first.
 
-A long text is cut into chunks. What a chunk does to any state is a map: run `head`, up to the
-first space, from that state; after a space the state is the start, whatever came before, so the
-chunk's own count and its `tail` are known at once. Maps compose associatively; chunks run in
-parallel as rows and a scan over each text's maps, in order, gives its count.
+A long text is cut into chunks, which run in parallel as rows. What a chunk does to any state is a
+map. At a border (after a blank or a number, or where letters and signs meet, without
+apostrophes) every state leads to the same one, so only what stands before a chunk's first border,
+its `head`, depends on the state at entry, and only what stands after the last, its `tail`, decides
+the state at exit; the count between is fixed. Maps compose associatively: a scan of
+`ROUNDS` rounds joins `ARITY` neighbours at a time, in parallel, in groups of that size, until a map a
+text is left, which is applied to the start. A head or tail is a part of one word; only a word
+longer than a chunk is put together again.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ from .common import require, table
 
 #: Characters in a chunk; longer texts are cut.
 CHUNK = 1 << 15
+#: Maps joined in a group of one round; three rounds are enough for the longest string that Spark has.
+ARITY, ROUNDS = 64, 3
 #: Compiled transitions a worker keeps, some 100 bytes each.
 MAX_TRANSITIONS = 600_000
 OVER = 2048
@@ -236,23 +243,23 @@ class Transducer:
         return len(parts) - 1 + sum(self.run(normalised(p)) for p in parts)
 
     def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); count is null if the chunk has no place after which the state is known."""
+        """(head, count, tail); count is null if the chunk has no border, after which the state is known."""
         self.tidy()
         head, n, rest = "", None, text
         while self.special and (m := self.special.search(rest)):
             part, rest = normalised(rest[: m.start()]), rest[m.end() :]
             if n is None:
-                first, _, part = part.partition(" ")
-                head, n = first, 0
+                at = first_border(part)
+                head, part, n = part[:at], part[at:], 0
             n += self.run(part) + 1
         rest = normalised(rest)
         if n is None:
-            if " " not in rest:
+            at = first_border(rest)
+            if at == len(rest):
                 return rest, None, ""
-            head, _, rest = rest.partition(" ")
-            n = 0
-        middle, _, tail = rest.rpartition(" ")
-        return head, n + self.run(middle), tail
+            head, rest, n = rest[:at], rest[at:], 0
+        at = last_border(rest)
+        return head, n + self.run(rest[:at]), rest[at:]
 
     def composed(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
         if a[1] is None:
@@ -266,6 +273,32 @@ class Transducer:
         return self.run(chunk[0]) + (0 if chunk[1] is None else chunk[1] + self.run(chunk[2]))
 
 
+def sort_of(ch: str) -> str:
+    """What a character is to the machine: a blank, a number, an apostrophe, a letter or another sign."""
+    if ch in " '":
+        return ch
+    group = unicodedata.category(ch)[0]
+    return group if group in "LN" else "O"
+
+
+def is_border(before: str, after: str) -> bool:
+    """Whether a word ends between two characters of a normalised text, whatever stands before them."""
+    a = sort_of(before)
+    return a in " N" or a in "LO" and {a, sort_of(after)} == {"L", "O"}
+
+
+def first_border(text: str) -> int:
+    """Where the first border is, or the text's length; behind a last blank or number is one, too."""
+    at = next((i for i in range(1, len(text)) if is_border(text[i - 1], text[i])), len(text))
+    return at
+
+
+def last_border(text: str) -> int:
+    if text and sort_of(text[-1]) in " N":
+        return len(text)
+    return next((i for i in range(len(text) - 1, 0, -1) if is_border(text[i - 1], text[i])), 0)
+
+
 def normalised(text: str) -> str:
     """Canonical composition, white space to blanks, lower case letter by letter."""
     if text.isascii():
@@ -311,10 +344,11 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", id_col: str =
     )
     short, long = rows.filter(F.length("text") <= chunk), rows.filter(F.length("text") > chunk)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(path)
         for b in batches:
-            yield b[["id", "n_bytes"]].assign(n_tokens=[machine.count(t) for t in b["text"]])
+            counts = pa.array([machine.count(t.as_py()) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), counts], ["id", "n_bytes", "n_tokens"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = compiled(path)
@@ -323,26 +357,36 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", id_col: str =
                 parts = list(cuts(row.text, machine.special, chunk))
                 for i in range(0, len(parts), 64):
                     some = parts[i : i + 64]
-                    yield pd.DataFrame({"row": row.row, "number": range(i, i + len(some)), "part": some})
+                    yield pd.DataFrame({"key": [row.key] * len(some), "number": range(i, i + len(some)), "part": some})
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = compiled(path)
         for b in batches:
             got = pd.DataFrame([machine.chunk_map(t) for t in b["part"]], columns=["head", "n", "tail"]).astype({"n": "Int64"})
-            yield pd.concat([b[["row", "number"]].reset_index(drop=True), got], axis=1)
+            yield pd.concat([b[["key", "number"]].reset_index(drop=True), got], axis=1)
 
-    def scan(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+    def scan(name: tuple, b: pd.DataFrame) -> pd.DataFrame:
         machine = compiled(path)
         ordered = b.sort_values("number")
         each = ((h, None if pd.isna(n) else int(n), t) for h, n, t in zip(ordered["head"], ordered["n"], ordered["tail"], strict=True))
-        return pd.DataFrame({"row": [key[0]], "n_tokens": [machine.applied(reduce(machine.composed, each))]})
-
-    counted = short.mapInPandas(whole, f"id {kind}, n_bytes long, n_tokens long")
-    numbered = long.withColumn("row", F.monotonically_increasing_id())
-    parts = numbered.select("row", "text").mapInPandas(cut, "row long, number long, part string").repartition("row", "number")
-    mapped = parts.mapInPandas(maps, "row long, number long, head string, n long, tail string")
-    totals = mapped.groupBy("row").applyInPandas(scan, "row long, n_tokens long")
-    joined = numbered.select("row", "id", "n_bytes").join(totals, "row").select("id", "n_bytes", "n_tokens")
+        head, n, tail = reduce(machine.composed, each)
+        return pd.DataFrame({"key": [name[0]], "number": [name[1]], "head": [head], "n": pd.array([n], "Int64"), "tail": [tail]})
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = compiled(path)
+        for b in batches:
+            each = zip(b["head"], b["n"], b["tail"], strict=True)
+            yield b[["key"]].assign(n_tokens=[machine.applied((h, None if pd.isna(n) else int(n), t)) for h, n, t in each])
+
+    counted = short.mapInArrow(whole, f"id {kind}, n_bytes long, n_tokens long")
+    keyed = long.withColumn("key", F.sha2("text", 256))  # rows of equal texts share their chunks
+    parts = keyed.select("key", "text").mapInPandas(cut, "key string, number long, part string").repartition("key", "number")
+    schema = "key string, number long, head string, n long, tail string"
+    maps_of = parts.dropDuplicates(["key", "number"]).mapInPandas(maps, schema)
+    for _ in range(ROUNDS):
+        maps_of = maps_of.groupBy("key", F.floor(F.col("number") / ARITY).alias("next")).applyInPandas(scan, schema)
+    totals = maps_of.mapInPandas(last, "key string, n_tokens long")
+    joined = keyed.select("key", "id", "n_bytes").join(totals, "key").select("id", "n_bytes", "n_tokens")
     return counted.unionByName(joined).withColumnRenamed("id", id_col)
 
 

@@ -48,7 +48,7 @@ def test_transducer_is_the_library(vocabulary):
 def test_chunk_maps_compose_in_any_order(vocabulary):
     rng = random.Random(5)
     machine = token_counts.compiled(vocabulary)
-    pool = "abcde  'srt12é中<|endoftext|> "
+    pool = "abcde  'srt12é中.,。<|endoftext|> "
     for _ in range(300):
         text = "".join(rng.choice(pool) for _ in range(rng.randint(30, 200)))
         maps = [machine.chunk_map(c) for c in token_counts.cuts(text, machine.special, 16)]
@@ -425,3 +425,26 @@ def test_archives_of_odd_pages(spark):
     assert len(got) == 67 and next(r for r in got if r.page_id is None).record_type == "response"
     assert [r.record_type for r in got if r.page_id == 60] == ["response", "response"]
     assert warc.archive_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+# --- ids
+
+
+TOP = (1 << 63) - 1
+
+
+def test_large_ids_beside_nulls(spark, vocabulary):
+    rows = [(TOP, "one two three"), (TOP - 1, "x " * 40_000), (None, "one two three"), (9007199254740993, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, (r[0] for r in rows)))
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    for got in (token_counts.count_tokens(df, vocabulary), decontamination.find_contamination(df, bench)):
+        assert sorted(str(r.doc_id) for r in got.collect()) == want
+
+
+def test_large_page_ids(spark):
+    rows = [(TOP, "u", "same"), (TOP - 2, None, "same"), (9007199254740993, "v", "other"), (None, "w", None)]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {
+        (TOP, "response", None), (TOP - 2, "revisit", TOP), (9007199254740993, "response", None), (None, "response", None)
+    }
