@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require, table
+from .common import give_back, require, table
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -270,6 +270,7 @@ def _searcher(shared, shard_words: int, last: bool):
                 ]
                 text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
                 yield pa.RecordBatch.from_arrays([batch.column("id"), text, *made], ["id", "text", "n_words", "spans", "items"])
+        give_back()
 
     return search
 
@@ -327,6 +328,7 @@ def _sieve(shared, shard_words: int, text_col: str):
             for batch in rows:
                 yield batch.filter(pa.array(clean[at : at + batch.num_rows]))
                 at += batch.num_rows
+        give_back()
 
     return sieve
 

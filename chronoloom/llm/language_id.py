@@ -13,21 +13,21 @@ language, are all that is broadcast. Prediction runs where the texts are, withou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, require, seeded, seeded_number, table
+from .common import fold, give_back, require, seeded, seeded_number, table
 
 DIMENSIONS = 1024
 TRAIN_PER_LANGUAGE = 4000
 #: More languages than this are an error, so that the prototypes have a bound (4 KB each).
 MAX_LANGUAGES = 10_000
-#: Trigram vectors that a worker keeps, 4 KB each, and how many are summed at once.
+#: Trigram vectors that a worker keeps, 1 KB each, and how many are summed at once.
 CACHED, AT_ONCE = 20_000, 2048
 SEED = 11
 UNKNOWN = "und"
@@ -64,7 +64,7 @@ class Space:
         self.dimensions, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
         self.place: dict[int, int] = {}
-        self.rows = np.zeros((CACHED, dimensions), np.float32)
+        self.rows = np.zeros((CACHED, dimensions), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         found = self.letters.get(code)
@@ -90,7 +90,7 @@ class Space:
                 self.rows[len(self.place)] = self.trigram(k)
                 self.place[k] = len(self.place)
             at = np.fromiter(map(self.place.__getitem__, some), np.int64, len(some))
-            total += counts[i : i + AT_ONCE].astype(np.float32) @ self.rows[at]
+            total += counts[i : i + AT_ONCE].astype(np.float32) @ self.rows[at].astype(np.float32)
         return total
 
 
@@ -115,22 +115,19 @@ class Profiles:
         rest = vectors - (vectors @ self.shared)[:, None] * self.shared
         return rest / np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-9)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.names:
-            return names, scores
-        vectors, at = [], []
-        for i, t in enumerate(texts):
-            keys, counts = trigrams(t or "")
-            if len(keys):
-                vectors.append(space(self.dimensions, self.seed).bundle(keys, counts))
-                at.append(i)
-        if at:
-            found = np.array(vectors)
-            cosines = (self.apart(found) if len(self.names) > 1 else found / np.linalg.norm(found, axis=1, keepdims=True)) @ self.own.T
-            for i, row in zip(at, cosines, strict=True):
-                best = int(row.argmax())
-                names[i], scores[i] = self.names[best], float(min(1.0, max(0.0, row[best])))
+    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        for text in texts:
+            keys, counts = trigrams(text or "")
+            name, score = UNKNOWN, 0.0
+            if len(keys) and self.names:
+                found = space(self.dimensions, self.seed).bundle(keys, counts)[None, :]
+                found = self.apart(found) if len(self.names) > 1 else found / np.linalg.norm(found)
+                cosines = (found @ self.own.T)[0]
+                best = int(cosines.argmax())
+                name, score = self.names[best], float(min(1.0, max(0.0, cosines[best])))
+            names.append(name)
+            scores.append(score)
         return names, scores
 
 
@@ -147,19 +144,22 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     rate = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most / v))]), F.col(lang_col))
     drawn = known.filter(seeded_number(seeded(id_col, SEED)) % 1_000_003 < rate * 1_000_003)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         vectors = space(DIMENSIONS, SEED)
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                keys, counts = trigrams(text or "")
+            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+                keys, counts = trigrams(text.as_py() or "")
                 if len(keys):
                     got = vectors.bundle(keys, counts)
-                    totals[lang] = totals.get(lang, 0) + np.round(got / np.linalg.norm(got) * 1e6).astype(np.int64)
+                    name = lang.as_py()
+                    totals[name] = totals.get(name, 0) + np.round(got / np.linalg.norm(got) * 1e6).astype(np.int64)
+        give_back()
         if totals:
-            yield pd.DataFrame({"lang": list(totals), "vector": list(totals.values())})
+            rows = pa.array([v.tolist() for v in totals.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), rows], ["lang", "vector"])
 
-    parts = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, vector array<long>")
+    parts = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, vector array<long>")
     sums = parts.select("lang", F.posexplode("vector").alias("d", "v")).groupBy("lang", "d").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("vector")).collect()
     rows.sort(key=lambda r: r.lang)
@@ -173,10 +173,12 @@ def predict_language(df: DataFrame, profiles: Profiles, text_col: str = "text",
     """
     require(df, text_col)
 
-    @F.pandas_udf("name string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        names, scores = profiles.predict(texts.tolist())
-        return pd.DataFrame({"name": names, "score": scores})
+    @F.arrow_udf("name string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            names, scores = profiles.predict(t.as_py() for t in texts)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["name", "score"])
+        give_back()
 
     found = df.withColumn("__found", predicted(F.col(text_col)))
     return found.withColumn(name_col, F.col("__found.name")).withColumn(score_col, F.col("__found.score")).drop("__found")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require, table, written
+from .common import give_back, require, table, written
 from .decontamination import WORD_BYTES
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -213,23 +213,24 @@ def lowered(text: Column) -> Column:
 def learn_idf(texts: DataFrame) -> Idf:
     """Document frequencies of all rows of (text: binary), as one table of fixed size."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, docs = np.zeros(IDF_BUCKETS, np.int64), 0
         for batch in batches:
-            found = [bucket(shingles(word_hashes(t))[0]) for t in batch["text"]]
-            docs += len(found)
-            if found:
-                totals += np.bincount(np.concatenate(found), minlength=IDF_BUCKETS)
+            docs += batch.num_rows
+            for text in batch.column("text"):
+                np.add.at(totals, bucket(shingles(word_hashes(text.as_py()))[0]), 1)
         blocks = totals.reshape(-1, IDF_BLOCK)
         used = [b for b in range(len(blocks)) if blocks[b].any()]
+        give_back()
         if docs:
-            yield pd.DataFrame({"block": [-1, *used], "counts": [np.array([docs]).tobytes(), *(blocks[b].astype(np.int64).tobytes() for b in used)]})
+            counts = [np.array([docs]).tobytes(), *(blocks[b].tobytes() for b in used)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int32()), pa.array(counts, pa.binary())], ["block", "counts"])
 
     def add(batch: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(c, np.int64) for c in batch["counts"]], axis=0)
         return pd.DataFrame({"block": batch["block"][:1], "counts": [total.astype(np.int64).tobytes()]})
 
-    parts = texts.mapInPandas(count, "block int, counts binary").withColumn("part", F.spark_partition_id() % 256)
+    parts = texts.mapInArrow(count, "block int, counts binary").withColumn("part", F.spark_partition_id() % 256)
     some = parts.groupBy("block", "part").applyInPandas(lambda b: add(b), "block int, counts binary")
     rows = {r.block: np.frombuffer(r.counts, np.int64) for r in some.groupBy("block").applyInPandas(lambda b: add(b), "block int, counts binary").collect()}
     counts = np.concatenate([rows.get(b, np.zeros(IDF_BLOCK, np.int64)) for b in range(IDF_BUCKETS // IDF_BLOCK)])
@@ -249,6 +250,7 @@ def _signer(shared):
                 bands.append(band_keys(both_samples(*idf.vector(words))) if len(words) else [])
             made = [pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), *made], ["id", "raw", "node", "bands", "bytes"])
+        give_back()
 
     return sign
 
@@ -358,6 +360,7 @@ def _linker(shared, threshold: float):
                     block, texts = name.as_py(), {}
                 texts[node.as_py()] = word_hashes(text.as_py())
         yield from stars()
+        give_back()
 
     return link
 
