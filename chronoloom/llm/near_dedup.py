@@ -471,7 +471,7 @@ def _crossed(members: DataFrame) -> DataFrame:
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `df` that are kept; columns stay as they are. Of rows that repeat an id, those go whose own text is a copy."""
     gone = _classified(df, text_col, id_col, THRESHOLD).filter("NOT kept").select(F.col(id_col).alias("__id"), "__raw").distinct()
-    dropped = written(gone, "dropped")
+    dropped = written(gone, "dropped").hint("merge")  # rows with their texts move once, whatever the size of this table
     return df.join(dropped, F.col(id_col).eqNullSafe(F.col("__id")) & (raw_hash(F.col(text_col)) == F.col("__raw")), "left_anti").select(*df.columns)
 
 
