@@ -19,7 +19,7 @@ def duration(seconds: Column) -> Column:
     s = F.floor(seconds + 0.5)
     return (
         F.when(seconds.isNull() | (seconds < 0), "--")
-        .when(seconds < 60, F.concat(F.format_number(F.floor(seconds * 10) / 10, "0.0"), F.lit("s")))
+        .when(seconds < 60, F.format_string("%.1fs", F.floor(seconds * 10) / 10))
         .when(s < 3600, F.concat(F.floor(s / 60), F.lit("m "), s % 60, F.lit("s")))
         .otherwise(F.concat(F.floor(s / 3600), F.lit("h "), F.floor(s / 60) % 60, F.lit("m")))
     )

@@ -13,6 +13,10 @@ from chronoloom.operators.align import token
 WEAK = frozenset(WEAK_TRAILING_WORDS)
 #: Words with which a sentence goes on (fixed values).
 CONTINUATION = frozenset("ao aos com da das de do dos em na nas no nos para pela pelo por pra pro que sem à às".split())
+#: Words at a card's end after which its sentence goes on, besides those (fixed values).
+DANGLING = CONTINUATION | frozenset(
+    "a aquela aquele as e essa esse esta este foi já mais mas meu minha muito não o os ou se seu sua toda todo tá tão um uma vai é".split()
+)
 HARD_STOPS, SOFT_STOPS = (".", "?", "!", "…"), (",", ";", ":")
 
 
@@ -116,7 +120,7 @@ def sentence_buckets(rows: list[tuple[str, float, float]], soft: int = 5, most:
             if open_[0] <= comma < n:
                 done.append([k for k in open_ if k <= comma])
                 open_ = [k for k in open_ if k > comma]
-            elif not goes_on and last_word(n) not in CONTINUATION or count(open_) >= hard:
+            elif not goes_on and last_word(n) not in DANGLING or count(open_) >= hard:
                 done, open_ = [*done, open_], []
             comma = -1
     if open_:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,9 +23,19 @@ def stub(prompt: str, temperature: float) -> str:
     return json.dumps({"scores": {i: hashlib.md5(str(i).encode()).digest()[0] % 11 for i in ids}})
 
 
+def json_in(answer: str):
+    """The JSON value of an answer, which may stand in a code fence or between other words; a ValueError without any."""
+    bare = re.sub(r"^```[a-zA-Z]*\s*|\s*```$", "", answer.strip())
+    spans = [bare, bare[min((i for i in map(bare.find, "{[") if i >= 0), default=0) : max(map(bare.rfind, "}]")) + 1]]
+    for text in spans:
+        with contextlib.suppress(json.JSONDecodeError):
+            return json.loads(text)
+    raise ValueError(f"no JSON in {answer[:200]!r}")
+
+
 def valid_scores(answer: str, ids: list[str]) -> dict[str, int]:
     """The scores of an answer; an error says what's wrong with it."""
-    scores = json.loads(answer)["scores"]
+    scores = json_in(answer)["scores"]
     if unknown := set(scores) - set(ids):
         raise ValueError(f"unknown ids {sorted(unknown)}")
     if missing := set(ids) - set(scores):

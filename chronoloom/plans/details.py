@@ -49,7 +49,7 @@ SELECT media_id, phrase, end_ms - start_ms AS duration_ms, CASE WHEN end_ms > st
        coalesce(start_ms - lag(end_ms) OVER o, 0) AS gap_before, coalesce(lead(start_ms) OVER o - end_ms, 0) AS gap_after
 FROM scored WINDOW o AS (PARTITION BY media_id ORDER BY phrase)""")
 def phrase_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.phrase_features(scored(V.words(spark, sf_dir)))
+    return FE.phrase_features(scored(V.words_once(spark, sf_dir)))
 
 
 @query(rf"""WITH {WORDS_SQL}, {PHRASES}, {SCORED}
@@ -57,21 +57,21 @@ SELECT * FROM (SELECT media_id, phrase, lead(start_ms) OVER o - end_ms AS pause_
        (lower(regexp_replace(string_split(text, ' ')[-1], '[^\pL\pN_]', '', 'g')) IN ({', '.join(f"'{w}'" for w in X.MID_IDEA_WORDS)}))::INT AS connector_before,
        coalesce(lead(score) OVER o, 5)::BIGINT AS score_after FROM scored WINDOW o AS (PARTITION BY media_id ORDER BY phrase)) WHERE pause_ms >= 100""")
 def pause_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.pause_features(scored(V.words(spark, sf_dir)))
+    return FE.pause_features(scored(V.words_once(spark, sf_dir)))
 
 
 @query(f"""WITH {WORDS_SQL}, {PHRASES}, {PAUSES}, {CONTEXT}, {KEPT}, c AS (
-  SELECT p.media_id, p.phrase, p.end_ms - p.start_ms AS d, coalesce(sum(greatest(0, least(p.end_ms, k.end_ms) - greatest(p.start_ms, k.start_ms))), 0)::BIGINT AS covered_ms
+  SELECT p.media_id, p.phrase, p.end_ms - p.start_ms AS d, sum(CASE WHEN k.start_ms IS NULL THEN 0 ELSE greatest(0, least(p.end_ms, k.end_ms) - greatest(p.start_ms, k.start_ms)) END)::BIGINT AS covered_ms
   FROM phrases p LEFT JOIN keeps k ON k.media_id = p.media_id AND k.start_ms < p.end_ms AND k.end_ms > p.start_ms GROUP BY ALL
 )
 SELECT media_id, phrase, covered_ms, (d > 0 AND covered_ms * 100 >= d * 50)::INT AS y FROM c""")
 def phrase_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return FE.phrase_examples(S.phrases(words), keeps_of(words)).select("media_id", "phrase", "covered_ms", "y")
 
 
 @query(f"""WITH {WORDS_SQL}, {PHRASES}, {ZOOMS}, c AS (
-  SELECT p.media_id, p.phrase, p.start_ms, p.end_ms, coalesce(sum(greatest(0, least(p.end_ms, z.end_ms) - greatest(p.start_ms, z.start_ms))), 0)::BIGINT AS zoom_ms
+  SELECT p.media_id, p.phrase, p.start_ms, p.end_ms, sum(CASE WHEN z.start_ms IS NULL THEN 0 ELSE greatest(0, least(p.end_ms, z.end_ms) - greatest(p.start_ms, z.start_ms)) END)::BIGINT AS zoom_ms
   FROM phrases p LEFT JOIN zooms z ON z.media_id = p.media_id AND z.start_ms < p.end_ms AND z.end_ms > p.start_ms GROUP BY ALL
 ), y AS (
   SELECT *, (zoom_ms > 0 AND zoom_ms * 10 >= least((end_ms - start_ms) * 4, 5000))::INT AS y FROM c
@@ -79,7 +79,7 @@ def phrase_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT media_id, phrase, zoom_ms, y, least(coalesce(start_ms - last_value(CASE WHEN y = 1 THEN end_ms END IGNORE NULLS)
        OVER (PARTITION BY media_id ORDER BY phrase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 120000), 120000)::BIGINT AS since_zoom_ms FROM y""")
 def zoom_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return FE.zoom_examples(S.phrases(words), zooms_of(words))
 
 
@@ -93,29 +93,53 @@ def zoom_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 SELECT DISTINCT media_id, from_ms, to_ms, EXISTS (SELECT 1 FROM zooms z WHERE z.media_id = s.media_id AND from_ms >= z.start_ms AND to_ms <= z.end_ms) AS zoomed FROM s WHERE to_ms - from_ms > 10""")
 def zoomed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return FE.split_at_zooms(keeps_of(words), zooms_of(words))
 
 
 @query(f"""WITH {WORDS_SQL}, {PHRASES}, {ZOOMS}, z AS (SELECT *, 1.1 + media_id % 5 / 10 AS level FROM zooms WHERE end_ms - start_ms >= 500)
 SELECT media_id, start_ms AS t_ms, 1.0::DOUBLE AS scale FROM z UNION ALL SELECT media_id, start_ms + 400, round(level, 4)::DOUBLE FROM z UNION ALL SELECT media_id, end_ms, round(level * 1.1, 4)::DOUBLE FROM z""")
 def zoom_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.zoom_keyframes(zooms_of(V.words(spark, sf_dir)).withColumn("level", 1.1 + F.col("media_id") % 5 / 10))
+    return FE.zoom_keyframes(zooms_of(V.words_once(spark, sf_dir)).withColumn("level", 1.1 + F.col("media_id") % 5 / 10))
 
 
 @query("""SELECT p_partkey, CASE WHEN d < 0 THEN '--' WHEN d < 60 THEN format('{:.1f}', floor(d * 10) / 10) || 's' WHEN floor(d + 0.5) < 3600 THEN (floor(d + 0.5)::BIGINT // 60) || 'm ' || (floor(d + 0.5)::BIGINT % 60) || 's'
-            ELSE (floor(d + 0.5)::BIGINT // 3600) || 'h ' || (floor(d + 0.5)::BIGINT // 60 % 60) || 'm' END AS duration,
-       (p_size || CASE WHEN p_size = 1 THEN ' file' ELSE ' files' END) AS files, (p_size * 2) || '%' AS share, trim(string_split(string_split(p_name || ' (' || p_brand || ')', ' (')[1], ':')[1]) AS reason,
-       replace(p_name, ' ', '_') AS stem, substr(sha1(lower('/v/' || p_name || '.mp4')), 1, 12) AS video_id, p_name || '，' || p_type || '。' AS line, CASE WHEN p_retailprice < 1000 THEN 'low_confidence' END AS flag,
-       greatest(10, p_size) AS least_s, greatest(10, p_size, 30) AS target_s, greatest(10, p_size, 30, 25) AS most_s
+            ELSE (floor(d + 0.5)::BIGINT // 3600) || 'h ' || (floor(d + 0.5)::BIGINT // 60 % 60) || 'm' END AS duration
 FROM (SELECT *, (p_partkey * p_size / 8.0)::DOUBLE - 10 AS d FROM part)""")
-def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = V.table(spark, sf_dir, "part")
+def durations_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = (F.col("p_partkey") * F.col("p_size") / 8.0).cast("double") - 10
+    return V.table(spark, sf_dir, "part").select("p_partkey", D.duration(seconds).alias("duration"))
+
+
+@query("""SELECT p_partkey, (p_size || CASE WHEN p_size = 1 THEN ' file' ELSE ' files' END) AS files, (p_size * 2) || '%' AS share,
+       trim(string_split(string_split(p_name || ' (' || p_brand || ')', ' (')[1], ':')[1]) AS reason FROM part""")
+def counts_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = D.reason_key(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")")))
+    return V.table(spark, sf_dir, "part").select("p_partkey", D.counted(F.col("p_size"), "file", "files").alias("files"), D.percent(F.col("p_size") / 50).alias("share"), reason.alias("reason"))
+
+
+@query("""SELECT p_partkey, replace(p_name, ' ', '_') AS stem, substr(sha1(lower('/v/' || p_name || '.mp4')), 1, 12) AS video_id FROM part""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/v/"), F.col("p_name"), F.lit(".mp4"))
+    return V.table(spark, sf_dir, "part").select("p_partkey", D.short_stem(path).alias("stem"), D.video_id(path).alias("video_id"))
+
+
+@query("""SELECT p_partkey, p_name || '，' || p_type || '。' AS line, CASE WHEN p_retailprice < 1000 THEN 'low_confidence' END AS flag FROM part""")
+def caption_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = D.full_width(F.concat(F.col("p_name"), F.lit(","), F.col("p_type"), F.lit(".")))
+    return V.table(spark, sf_dir, "part").select("p_partkey", line.alias("line"), D.confidence_flag(F.col("p_retailprice"), 1000.0).alias("flag"))
+
+
+@query("""SELECT p_partkey, greatest(10, p_size) AS least_s, greatest(10, p_size, 30) AS target_s, greatest(10, p_size, 30, 25) AS most_s FROM part""")
+def ordered_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, target, most = D.ordered_durations(F.col("p_size"), F.lit(30), F.lit(25))
-    return part.select(
-        "p_partkey", D.duration((F.col("p_partkey") * F.col("p_size") / 8.0).cast("double") - 10).alias("duration"), D.counted(F.col("p_size"), "file", "files").alias("files"),
-        D.percent(F.col("p_size") / 50).alias("share"), D.reason_key(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")"))).alias("reason"), D.short_stem(path).alias("stem"),
-        D.video_id(path).alias("video_id"), D.full_width(F.concat(F.col("p_name"), F.lit(","), F.col("p_type"), F.lit("."))).alias("line"),
-        D.confidence_flag(F.col("p_retailprice"), 1000.0).alias("flag"), low.alias("least_s"), target.alias("target_s"), most.alias("most_s"),
-    )
+    return V.table(spark, sf_dir, "part").select("p_partkey", low.alias("least_s"), target.alias("target_s"), most.alias("most_s"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'English' WHEN 1 THEN 'xx' WHEN 2 THEN 'Português' ELSE NULL END AS language, p_size % 3 = 0 AS is_clock,
+       p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE '…' END AS line FROM part""")
+def labels_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("p_size") % 4 == 0, "EN").when(F.col("p_size") % 4 == 1, "xx").when(F.col("p_size") % 4 == 2, "pt")
+    clock = F.when(F.col("p_size") % 3 == 0, "1:02:03.5").when(F.col("p_size") % 3 == 1, "1:75")
+    text = F.concat(F.lit("  "), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "\nsecond line").otherwise(F.lit("…")))
+    return V.table(spark, sf_dir, "part").select("p_partkey", D.language(code).alias("language"), D.is_clock(clock).alias("is_clock"), D.first_line(text).alias("line"))

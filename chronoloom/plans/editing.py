@@ -93,18 +93,18 @@ def keeps_of(words: DataFrame) -> DataFrame:
 
 @query(f"WITH {WORDS_SQL}, {PAUSES} SELECT * FROM pause")
 def pause_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pauses_of(V.words(spark, sf_dir))
+    return pauses_of(V.words_once(spark, sf_dir))
 
 
 @query(f"WITH {WORDS_SQL}, {PAUSES}, {CONTEXT} SELECT media_id, start_ms, end_ms, text_before, text_after FROM ctx")
 def pause_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return P.with_context(pauses_of(words), V.segments(words)).select("media_id", "start_ms", "end_ms", "text_before", "text_after")
 
 
 @query(f"WITH {WORDS_SQL}, {PAUSES}, {CONTEXT} SELECT media_id, start_ms, end_ms, mode, pause_type, keep_ms, action FROM decided")
 def pause_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     typed = P.classified(P.with_context(pauses_of(words), V.segments(words)))
     each = [P.decided(typed, m) for m in P.KEPT_MS]
     return each[0].union(each[1]).union(each[2]).select("media_id", "start_ms", "end_ms", "mode", "pause_type", "keep_ms", "action")
@@ -112,7 +112,7 @@ def pause_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORDS_SQL}, {PAUSES}, {CONTEXT}, {KEPT} SELECT * FROM keeps")
 def keep_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keeps_of(V.words(spark, sf_dir))
+    return keeps_of(V.words_once(spark, sf_dir))
 
 
 @query(f"""WITH {WORDS_SQL}, {PAUSES}, {CONTEXT}, {KEPT}
@@ -120,7 +120,7 @@ SELECT s.media_id, span_end AS before_ms, sum(end_ms - start_ms)::BIGINT AS afte
        substr(sha1(s.media_id || '|balanced|' || sum(end_ms - start_ms)::BIGINT), 1, 16) AS export_id
 FROM spans s JOIN keeps USING (media_id) GROUP BY s.media_id, span_end""")
 def edited_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     length = F.sum(F.col("end_ms") - F.col("start_ms"))
     return (
         V.spans(words).join(keeps_of(words), "media_id").groupBy("media_id", F.col("span_end").alias("before_ms"))
@@ -136,7 +136,7 @@ def edited_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w.media_id, w.i, w.start_ms AS t_ms, coalesce(k.before + least(w.start_ms, k.end_ms) - k.start_ms, 0)::BIGINT AS kept_ms
 FROM words w ASOF LEFT JOIN k ON w.media_id = k.media_id AND w.start_ms >= k.start_ms""")
 def kept_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return I.kept_positions(words.select("media_id", "i", F.col("start_ms").alias("t_ms")), keeps_of(words))
 
 

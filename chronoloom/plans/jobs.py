@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 )
 SELECT name, count(*) AS times FROM n WHERE regexp_matches(name, '^\p{{Lu}}') AND length(name) > 1 AND name <> upper(name) GROUP BY name HAVING count(*) >= 2 AND max(pos) > 0""")
 def proper_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     first = words.groupBy("media_id", "segment_id").agg(F.min("i").alias("first"))
     return VA.candidate_names(words.join(first, ["media_id", "segment_id"]).withColumn("pos", F.col("i") - F.col("first")))
 
@@ -188,7 +188,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.streaming.tasks import run_once
 
     name = f"tasks_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = V.shared_folder(spark)
     schema = V.table(spark, sf_dir, "events").schema
     # a file source takes folders; the table's own folder is filtered down to its name
     return run_once(spark, f"{sf_dir}/events.parquet*", schema, lambda df: task_events(df).drop("k"), f"{base}/{name}", name)

@@ -45,7 +45,7 @@ def corrected_cards(words: DataFrame) -> DataFrame:
 
 @query()
 def break_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return align.align_breaks(words.select("media_id", "i", "word"), corrected_cards(words))
 
 
@@ -57,7 +57,7 @@ def break_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT fix, sum(n)::BIGINT AS times FROM (SELECT fix, 1 AS n FROM f UNION ALL SELECT DISTINCT fix, n FROM stored) GROUP BY fix""")
 def word_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of corrections added to stored counts."""
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     fix = F.concat(F.lower("word"), F.lit("->"), F.lower("word"), F.lit("x")).alias("fix")
     stored = words.filter("i = 5").select(fix, F.lit(3).cast("bigint").alias("n")).distinct()
     new = words.filter("i % 11 = 5").groupBy(fix).agg(F.count("*").alias("n"))
@@ -117,7 +117,7 @@ def merged_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boundary_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     predicted = candidates_of(words).filter("score >= 2500").select("media_id", (F.col("t_ms") / 1000).alias("t"))
     reference = V.shot_cuts(words).select("media_id", (F.col("t_ms") / 1000).alias("t"))
     hits = tracks.matched_points(predicted, reference, 1.0).groupBy("media_id").agg(F.count("*").alias("matches"), F.sum(F.abs(F.col("predicted") - F.col("reference"))).alias("error"))
@@ -180,7 +180,7 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT media_id, phrase, count(*) AS windows, sum(score)::BIGINT AS total FROM x GROUP BY media_id, phrase""")
 def score_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases scored in each window that sees them (30 s, 3 s overlap; here by a rule in the model's place)."""
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     windows = stats.score_windows(V.spans(words), 30_000, 3_000).withColumn("b", F.expr("win_start DIV 27000"))
     near = S.phrases(words).withColumn("b", F.explode(F.array(F.expr("start_ms DIV 27000"), F.expr("start_ms DIV 27000 - 1"))))
     seen = near.join(windows, ["media_id", "b"]).filter("start_ms >= win_start AND start_ms < win_end")
@@ -233,7 +233,7 @@ def zoom_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     phrases = scored_phrases(words).withColumnRenamed("probability", "score")
     pairs = align.retake_pairs(S.phrases(words), least=0.3).select("media_id", "first", F.col("similarity").alias("probability"))
     return tracks.edit_plan(phrases, pairs, 60.0)

@@ -176,17 +176,17 @@ def candidates_of(words: DataFrame) -> DataFrame:
 
 @query(f"WITH {WORDS_SQL}, {ISLANDS}, {CANDIDATES} SELECT media_id, gap_start, gap_end, t_ms, has_cut, after_sentence, silent, score FROM cand")
 def cut_candidates_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates_of(V.words(spark, sf_dir))
+    return candidates_of(V.words_once(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {WORDS_SQL}, {ISLANDS}, {CANDIDATES}, {THINNED} SELECT media_id, n, t_ms, score FROM thin")
 def cut_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.thinned(candidates_of(V.words(spark, sf_dir)))
+    return C.thinned(candidates_of(V.words_once(spark, sf_dir)))
 
 
 @query()
 def clip_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return C.clip_boundaries(C.thinned(candidates_of(words)), V.spans(words), 8, 15, 25)
 
 

@@ -102,23 +102,32 @@ def seconds_of(ticks: Column) -> Column:
     return F.coalesce(ticks.cast("decimal(38,0)"), F.lit(0)).cast("double") / TICKS_PER_SECOND
 
 
-def length_prefixed_strings(raw: bytes, least: int = 1, most: int = 1 << 16) -> list[str]:
-    """Texts in a binary blob that stand behind their length in 4 bytes; other bytes are passed over."""
-    found, at = [], 0
-    while at + 4 <= len(raw):
-        size = int.from_bytes(raw[at : at + 4], "little")
-        body = raw[at + 4 : at + 4 + size]
-        if least <= size <= most and len(body) == size:
-            try:
-                text = body.decode("utf-8")
-            except UnicodeDecodeError:
-                text = ""
-            if text and all(c.isprintable() or c in "\r\n\t" for c in text):
-                found.append(text)
-                at += 4 + size
-                continue
-        at += 1
-    return found
+#: Bytes of the longest text that counts (a fixed value).
+LONGEST_TEXT = 2000
+
+
+def text_at(raw: bytes, at: int) -> str | None:
+    """The printable text that stands at a place behind its length in 4 bytes and before a zero, if one does."""
+    size = int.from_bytes(raw[at : at + 4], "little")
+    body, end = raw[at + 4 : at + 4 + size], raw[at + 4 + size : at + 5 + size]
+    if not 1 <= size <= LONGEST_TEXT or end != b"\0":
+        return None
+    try:
+        text = body.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if all(c.isprintable() or c in "\r\n\t" for c in text) else None
+
+
+def length_prefixed_strings(raw: bytes) -> list[str]:
+    """Texts in a binary blob, in order; every place is tried, so one may stand inside another."""
+    return [text for at in range(len(raw) - 4) if (text := text_at(raw, at)) is not None]
+
+
+def blob_text(raw: bytes) -> str:
+    """The text of a text layer's blob: its last one, in one line; the ones before name fonts."""
+    found = length_prefixed_strings(raw)
+    return " ".join(found[-1].split()) if found else ""
 
 
 def xmeml(clips: DataFrame, timebase: int, ntsc: bool, gap: float = 10.0) -> DataFrame:

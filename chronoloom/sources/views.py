@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Where checkpoints go on a single machine when no setting names a shared folder.
+LOCAL_DIR = "/tmp/checkpoints"
 BLANKS = r"[ \t\n\r\f\x0B]+"
 
 
@@ -54,6 +56,27 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`, which all executors share; without that setting a local master uses its own folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or f"file://{LOCAL_DIR}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once, as a checkpoint in the shared folder; it keeps its partitioning and order."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
+def words_once(spark: SparkSession, folder: str) -> DataFrame:
+    """`words` for queries that use them several times: one scan and one exchange on media_id in all."""
+    return settled(words(spark, folder))
+
+
 def segments(timed: DataFrame) -> DataFrame:
     """Recognised segments: their words' text, in order, and span."""
     return timed.groupBy("media_id", "segment_id").agg(

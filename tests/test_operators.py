@@ -144,6 +144,19 @@ def test_breaks_from_corrected_cards(spark):
     assert got[3].cut and got[4].cut and abs(got[0].match_ratio - 0.8) < 1e-9
 
 
+def test_words_without_letters_part_labels(spark):
+    words = spark.createDataFrame([(1, 0, "foo"), (1, 1, "-"), (1, 2, "bar"), (1, 3, "end")], "media_id long, i long, word string")
+    read = spark.createDataFrame([(1, 0, "foo"), (1, 1, "bar end")], "media_id long, card long, text string")
+    got = {r.i: r for r in align.align_breaks(words, read).collect()}
+    assert [(got[i].card, got[i].label) for i in range(4)] == [(0, None), (None, None), (1, 0), (1, None)]
+
+
+def test_json_between_other_words():
+    assert hooks.json_in('```json\n{"a": [1]}\n```') == {"a": [1]} and hooks.json_in("Here: [1, 2] as asked") == [1, 2]
+    with pytest.raises(ValueError):
+        hooks.json_in("no scores today")
+
+
 def test_statistics(spark):
     from pyspark.sql import functions as F
 
@@ -253,8 +266,8 @@ def test_projects(spark):
     got = projects.project_objects(spark.createDataFrame(files, "path string, content binary")).collect()
     assert sorted((r.path, r.id or "", r.uid or "", r.tag) for r in got if not r.error) == sorted((p, *x) for p in ("plain", "zip") for x in (("1", "", "Clip"), ("", "u", "Seq")))
     assert [r.path for r in got if r.error] == ["cut"]
-    blob = b"\x07\x00" + (5).to_bytes(4, "little") + "olá!".encode() + b"\xff" + (3).to_bytes(4, "little") + b"fim"
-    assert projects.length_prefixed_strings(blob)[-1] == "fim"
+    blob = b"\x07\x00" + (5).to_bytes(4, "little") + "olá!".encode() + b"\0\xff" + (4).to_bytes(4, "little") + b"sem!" + (3).to_bytes(4, "little") + b"fim\0"
+    assert projects.length_prefixed_strings(blob) == ["olá!", "fim"] and projects.blob_text(blob) == "fim" and projects.blob_text(b"") == ""
     clips = spark.createDataFrame([(1, 1, 0.0, 2.0, "A", 7.5, "v.mp4"), (1, 2, 5.0, 6.0, "B", None, "v.mp4")], "media_id long, n long, start double, end double, title string, score double, path string")
     document = projects.xmeml(clips, 30, True).first().document
     assert document.count("<pathurl>") == 1 and "<start>360</start>" in document and "01 - A" in document
