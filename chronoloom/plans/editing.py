@@ -77,18 +77,24 @@ cut0 AS (
 )"""
 
 
-def pauses_of(words: DataFrame) -> DataFrame:
-    segs, spans = V.segments(words), V.spans(words)
+def pauses_of(words: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    segs = V.segments(words) if segments is None else segments
     heard = V.silences(words).withColumn("source", F.lit("audio"))
-    return I.merge_pauses(I.segment_pauses(segs, spans, 200).unionByName(heard))
+    return I.merge_pauses(I.segment_pauses(segs, V.spans(words), 200).unionByName(heard))
+
+
+def in_context(words: DataFrame) -> DataFrame:
+    """Pauses with the texts around them; segments and pauses, which both sides of the joins use, are computed once."""
+    segs = V.settled(V.segments(words))
+    return P.with_context(V.settled(pauses_of(words, segs)), segs)
 
 
 def decisions_of(words: DataFrame, mode: str) -> DataFrame:
-    return P.decided(P.classified(P.with_context(pauses_of(words), V.segments(words))), mode)
+    return P.decided(P.classified(in_context(words)), mode)
 
 
 def keeps_of(words: DataFrame) -> DataFrame:
-    return I.keep_ranges(decisions_of(words, "balanced"), V.spans(words))
+    return I.keep_ranges(V.settled(decisions_of(words, "balanced")), V.spans(words))
 
 
 @query(f"WITH {WORDS_SQL}, {PAUSES} SELECT * FROM pause")
@@ -99,13 +105,13 @@ def pause_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {WORDS_SQL}, {PAUSES}, {CONTEXT} SELECT media_id, start_ms, end_ms, text_before, text_after FROM ctx")
 def pause_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = V.words_once(spark, sf_dir)
-    return P.with_context(pauses_of(words), V.segments(words)).select("media_id", "start_ms", "end_ms", "text_before", "text_after")
+    return in_context(words).select("media_id", "start_ms", "end_ms", "text_before", "text_after")
 
 
 @query(f"WITH {WORDS_SQL}, {PAUSES}, {CONTEXT} SELECT media_id, start_ms, end_ms, mode, pause_type, keep_ms, action FROM decided")
 def pause_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = V.words_once(spark, sf_dir)
-    typed = P.classified(P.with_context(pauses_of(words), V.segments(words)))
+    typed = P.classified(in_context(words))
     each = [P.decided(typed, m) for m in P.KEPT_MS]
     return each[0].union(each[1]).union(each[2]).select("media_id", "start_ms", "end_ms", "mode", "pause_type", "keep_ms", "action")
 

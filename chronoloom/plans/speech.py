@@ -171,7 +171,7 @@ def gap_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates_of(words: DataFrame) -> DataFrame:
-    return C.raw_candidates(gaps_of(words), V.shot_cuts(words), V.silences(words), words.filter("track = 'film'"), V.spans(words))
+    return C.raw_candidates(V.settled(gaps_of(words)), V.shot_cuts(words), V.silences(words), words.filter("track = 'film'"), V.spans(words))
 
 
 @query(f"WITH {WORDS_SQL}, {ISLANDS}, {CANDIDATES} SELECT media_id, gap_start, gap_end, t_ms, has_cut, after_sentence, silent, score FROM cand")
@@ -195,7 +195,7 @@ def clip_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 SELECT * FROM (SELECT media_id, row_number() OVER o AS n, t_ms AS start_ms, lead(t_ms) OVER o AS end_ms FROM p WINDOW o AS (PARTITION BY media_id ORDER BY t_ms)) WHERE end_ms IS NOT NULL""")
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words(spark, sf_dir)
+    words = V.words_once(spark, sf_dir)
     return C.clips_from(every_boundary(words))
 
 
@@ -219,12 +219,12 @@ cp AS (
 @query(f"""WITH RECURSIVE {WORDS_SQL}, {ISLANDS}, {CANDIDATES}, {THINNED}, {CLIPS}
 SELECT *, CASE WHEN end_ms > start_ms THEN covered_ms / (end_ms - start_ms) ELSE 0 END AS coverage FROM cov""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covered_clips(V.words(spark, sf_dir))
+    return covered_clips(V.words_once(spark, sf_dir))
 
 
 def covered_clips(words: DataFrame) -> DataFrame:
     mic = I.speech_intervals(words.filter("track = 'mic'"), ["media_id"])
-    return I.overlap_ms(C.clips_from(every_boundary(words)), mic, "n")
+    return I.overlap_ms(V.settled(C.clips_from(every_boundary(words))), V.settled(mic), "n")
 
 
 def scored_clips(words: DataFrame) -> DataFrame:
@@ -249,13 +249,13 @@ peak AS (
 
 @query(f"WITH RECURSIVE {WORDS_SQL}, {ISLANDS}, {CANDIDATES}, {THINNED}, {CLIPS}, {SCORES} SELECT * FROM scored")
 def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_clips(V.words(spark, sf_dir))
+    return scored_clips(V.words_once(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {WORDS_SQL}, {ISLANDS}, {CANDIDATES}, {THINNED}, {CLIPS}, {SCORES}
 SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY coalesce(score, -1) DESC, n) <= 3""")
 def top_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.top_clips(scored_clips(V.words(spark, sf_dir)), 3)
+    return C.top_clips(scored_clips(V.words_once(spark, sf_dir)), 3)
 
 
 @query(f"""WITH {WORDS_SQL}, f AS (
