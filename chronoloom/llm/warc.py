@@ -124,15 +124,15 @@ def _writer(directory: str, archive: int, part: int):
             return pa.RecordBatch.from_pylist([dict(zip(WRITTEN_FIELDS.names, p, strict=True)) for p in parts], WRITTEN_FIELDS)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pylist()  # one chunk at a time
+            heads = batch.select([c for c in batch.schema.names if c != "data"]).to_pylist()
+            for row, data in zip(heads, batch.column("data"), strict=True):  # one chunk's bytes at a time
                 if row["chunk"] == 0:
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         out, at, first, records = files.open_output_stream(f"{root}/{name}", compression=None), 0, 0, 0
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                     at += put(packer.compress(_head(row)))
-                at += put(packer.compress(row["data"]))
+                at += put(packer.compress(data.as_py()))
                 if row["last"]:
                     at += put(packer.compress(b"\r\n\r\n") + packer.flush())
                     records += 1
@@ -252,7 +252,7 @@ CHUNK_FIELDS = pa.schema([(name, KINDS[kind]) for name, kind in (x.split() for x
 
 def _reader(directory: str, chunk: int):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(CHUNK_FIELDS.names, r, strict=True)) for r in rows], CHUNK_FIELDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CHUNK_FIELDS, strict=True)], schema=CHUNK_FIELDS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
