@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from chronoloom.functions.text import WEAK_TRAILING_WORDS
 from chronoloom.operators.align import token
@@ -152,20 +154,15 @@ def sentences(cards_: DataFrame) -> DataFrame:
 
 
 def apply_timing(cards_: DataFrame, lead: int, hold: int, glue: int, least: int) -> DataFrame:
-    """Cards (media_id, i, start_ms, end_ms) brought forward, held, glued over small gaps; they never overlap."""
-
-    def shift(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i").reset_index(drop=True)
-        start = [max(0, s - lead) for s in frame["start_ms"]]
-        end = [e + hold for e in frame["end_ms"]]
-        for n in range(len(start)):
-            more = n + 1 < len(start)
-            if more and 0 <= frame["start_ms"][n + 1] - frame["end_ms"][n] <= glue:
-                end[n] = start[n + 1]
-            end[n] = max(end[n], start[n] + least)
-            if more:
-                start[n + 1] = max(start[n + 1], start[n])
-                end[n] = max(min(end[n], start[n + 1]), start[n])
-        return frame.assign(start_ms=start, end_ms=end)
-
-    return cards_.groupBy("media_id").applyInPandas(shift, cards_.schema)
+    """Cards (media_id, i, start_ms, end_ms) brought forward, held, glued over small gaps; they never overlap.
+
+    A card never begins before an earlier one. One that is followed within `glue` ends where the next is
+    brought forward to, else it's held; it lasts at least `least`, unless the next one begins.
+    """
+    order = W.partitionBy("media_id").orderBy("i")
+    ahead = cards_.withColumn("__raw", F.greatest(F.lit(0), F.col("start_ms") - lead)).withColumn("__gap", F.lead("start_ms").over(order) - F.col("end_ms"))
+    begun = ahead.withColumn("__next", F.lead("__raw").over(order)).withColumn("__begin", F.max("__raw").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    held = F.when(F.col("__gap").between(0, glue), F.col("__next")).otherwise(F.col("end_ms") + hold)
+    ends = begun.withColumn("__end", F.greatest(held, F.col("__begin") + least)).withColumn("__next", F.lead("__begin").over(order))
+    end = F.when(F.col("__next").isNull(), F.col("__end")).otherwise(F.greatest(F.least("__end", "__next"), "__begin"))
+    return ends.withColumn("start_ms", F.col("__begin")).withColumn("end_ms", end).select(*[F.col(f.name).cast(f.dataType) for f in cards_.schema])

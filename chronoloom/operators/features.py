@@ -62,14 +62,18 @@ def zoom_examples(phrases: DataFrame, zooms: DataFrame) -> DataFrame:
     return marked.select("media_id", "phrase", F.col("covered_ms").alias("zoom_ms"), "y", since.cast("bigint").alias("since_zoom_ms"))
 
 
-def split_at_zooms(ranges: DataFrame, zooms: DataFrame, least: int = 10) -> DataFrame:
+def split_at_zooms(ranges: DataFrame, zooms: DataFrame, least: int = 10, bucket: int = 60_000) -> DataFrame:
     """Ranges (media_id, start_ms, end_ms) cut at the borders of zooms: pieces with `zoomed`; those of `least` or less go."""
-    edges = zooms.select("media_id", F.explode(F.array("start_ms", "end_ms")).alias("t"))
-    inner = ranges.join(edges, "media_id").filter("t > start_ms AND t < end_ms").select("media_id", "start_ms", "end_ms", "t")
+    covered = lambda s, e: F.explode(F.expr(f"sequence({s} DIV {bucket}, greatest({s}, {e}) DIV {bucket})"))
+    edges = zooms.select("media_id", F.explode(F.array("start_ms", "end_ms")).alias("t")).distinct().withColumn("__b", F.expr(f"t DIV {bucket}"))
+    spread = ranges.select("media_id", "start_ms", "end_ms").withColumn("__b", covered("start_ms", "end_ms"))
+    inner = spread.join(edges, ["media_id", "__b"]).filter("t > start_ms AND t < end_ms").select("media_id", "start_ms", "end_ms", "t")
     points = inner.union(ranges.select("media_id", "start_ms", "end_ms", F.col("start_ms").alias("t"))).union(ranges.select("media_id", "start_ms", "end_ms", F.col("end_ms").alias("t"))).distinct()
     order = W.partitionBy("media_id", "start_ms", "end_ms").orderBy("t")
     pieces = points.select("media_id", F.col("t").alias("from_ms"), F.lead("t").over(order).alias("to_ms")).filter(F.col("to_ms") - F.col("from_ms") > least)
-    hit = pieces.join(zooms.select("media_id", F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e")), "media_id", "left")
+    # a zoom that holds a piece covers the bucket in which the piece begins
+    near = zooms.select("media_id", F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e")).withColumn("__b", covered("__s", "__e"))
+    hit = pieces.withColumn("__b", F.expr(f"from_ms DIV {bucket}")).join(near, ["media_id", "__b"], "left")
     inside = F.coalesce((F.col("from_ms") >= F.col("__s")) & (F.col("to_ms") <= F.col("__e")), F.lit(False))
     return hit.groupBy("media_id", "from_ms", "to_ms").agg(F.max(inside).alias("zoomed"))
 

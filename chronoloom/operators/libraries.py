@@ -42,7 +42,11 @@ def pair_exports(exports: DataFrame, files: DataFrame, tolerance: int) -> DataFr
     smaller id. A file that several exports claim goes to none.
     """
     near = lambda d: F.abs(F.col(d) - F.col("file_ms"))
-    named = exports.join(files, "name")
+    width = max(1, tolerance)
+    cell = lambda c: F.floor(F.col(c) / width)
+    around = lambda c: F.coalesce(F.sequence(cell(c) - 1, cell(c) + 1), F.array().cast("array<bigint>"))
+    cells = F.array_union(around("range_ms"), around("whole_ms"))
+    named = exports.withColumn("__cell", F.explode(cells)).join(files.withColumn("__cell", cell("file_ms")), ["name", "__cell"])
     rank = F.when(near("range_ms") <= tolerance, 0).when(near("whole_ms") <= tolerance, 1)
     best = (
         named.withColumn("rank", rank)
@@ -52,8 +56,8 @@ def pair_exports(exports: DataFrame, files: DataFrame, tolerance: int) -> DataFr
         .select("export_id", "m.file_id")
     )
     claims = best.groupBy("file_id").agg(F.count("*").alias("claims"))
-    names = named.select("export_id").distinct().withColumn("named", F.lit(True))
-    joined = exports.join(best.join(claims, "file_id"), "export_id", "left").join(names, "export_id", "left")
+    names = files.select("name").distinct().withColumn("named", F.lit(True))
+    joined = exports.join(best.join(claims, "file_id"), "export_id", "left").join(names, "name", "left")
     reason = (
         F.when(F.col("named").isNull(), "no file of this name").when(F.col("file_id").isNull(), "no file of this length").when(F.col("claims") > 1, "claimed more than once")
     )

@@ -6,11 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.sources.views import settled
 
-def nearest_percentile(values: Column, q: int) -> Column:
-    """The value at place round(q/100 (n-1)), halves to even, of the sorted values; an aggregate. Null of none."""
-    sorted_ = F.array_sort(F.collect_list(values))
-    return F.get(sorted_, F.bround(F.lit(q) * (F.size(sorted_) - 1) / 100).cast("int"))
+
+def nearest_percentiles(df: DataFrame, keys: list[str], **wanted: tuple[Column, int]) -> DataFrame:
+    """(*keys, one column for each name): the value at place round(q/100 (n-1)), halves to even, of a key's sorted values.
+
+    wanted: name=(values, q). Nulls don't count; of no values the result is null. Rows become
+    counts of distinct values before they move, so a key with very many rows is no heavier than
+    its distinct values, and running counts over these give the place.
+    """
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), values.alias("v")) for name, (values, q) in wanted.items()])
+    counted = df.select(*keys, F.inline(each)).groupBy(*keys, "name", "q", "v").agg(F.count("v").alias("n"))
+    upto = W.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
+    placed = (
+        counted.withColumn("to", F.sum("n").over(upto.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .withColumn("all", F.sum("n").over(W.partitionBy(*keys, "name")))
+        .withColumn("place", F.bround(F.col("q") * (F.col("all") - 1) / 100))
+    )
+    there = (F.col("place") >= F.col("to") - F.col("n")) & (F.col("place") < F.col("to"))
+    return placed.groupBy(*keys).agg(*[F.max(F.when((F.col("name") == name) & there, F.col("v"))).alias(name) for name in wanted])
+
+
+def with_columns_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, null equal to null."""
+    named = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(named, on).drop(*[f"__{k}" for k in keys])
 
 
 def or_default(value: Column, default: int) -> Column:
@@ -41,8 +63,13 @@ def auc(df: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
 
 
 def holdout(df: DataFrame, order: list[str], every: int = 4) -> DataFrame:
-    """Adds `part`: each `every`th name is for the test."""
-    return df.withColumn("part", F.when((F.row_number().over(W.orderBy(*order)) - 1) % every == every - 1, "test").otherwise("train"))
+    """Adds `part`: each `every`th row in order is for the test. Rows are numbered in ranges that run in parallel."""
+    ranges = settled(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    offsets = ranges.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    number = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1 + F.col("__before")
+    part = F.when(number % every == every - 1, "test").otherwise("train")
+    return ranges.join(offsets.drop("__n"), "__range").withColumn("part", part).drop("__range", "__before")
 
 
 def score_windows(spans: DataFrame, size: int, overlap: int) -> DataFrame:

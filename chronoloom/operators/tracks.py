@@ -2,73 +2,103 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 TOUCH = 1e-3
 
 
-def overlaps(start: float, end: float, taken: list[tuple[float, float]], touch: float = TOUCH) -> bool:
-    return any(start < e - touch and end > s + touch for s, e in taken)
+def islands(df: DataFrame, starts: Column, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds `__island`, the number of rows so far in the key that `starts` marks."""
+    return df.withColumn("__island", F.sum(F.when(starts, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def touching(df: DataFrame, start: str, end: str, gap: float, order: list[str]) -> DataFrame:
+    """Adds `__island`: rows of different numbers in a recording are at least `gap` apart, so each can be judged without the others."""
+    before = F.max(end).over(W.partitionBy("media_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    marked = df.withColumn("__before", before)
+    apart = F.col("__before").isNull() | ((F.col(start) >= F.col("__before") + gap) & (F.col(start) - gap >= F.col("__before")) & (F.col(start) - F.col("__before") >= gap))
+    return islands(marked, apart, ["media_id"], order).drop("__before")
 
 
 def merge_tracks(clips: DataFrame, touch: float = TOUCH) -> DataFrame:
-    """(media_id, track, start, end) of the largest track, and of the others, by size, what overlaps no chosen clip of an earlier track."""
+    """(media_id, track, start, end) of the largest track, and of the others, by size, what overlaps no chosen clip of an earlier track.
+
+    Only clips that hang together by overlaps are judged in one group, however long the recording is.
+    """
+    names = clips.columns
+    sizes = clips.groupBy("media_id", "track").agg(F.count("*").alias("__size"))
+    sized = clips.join(sizes, ["media_id", "track"])
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[float, float]] = []
-        kept: list[int] = []
-        sizes = rows.groupby("track").size()
-        for track in sorted(sizes.index, key=lambda t: (-sizes[t], t)):
-            own = rows[rows["track"] == track]
-            new = [i for i, s, e in zip(own.index, own["start"], own["end"], strict=True) if not overlaps(s, e, taken, touch)]
-            kept += new
-            taken += [(rows.at[i, "start"], rows.at[i, "end"]) for i in new]
-        return rows.loc[sorted(kept)]
+        low, high, kept = np.zeros(0), np.zeros(0), []
+        for _, own in sorted(rows.groupby(["__size", "track"]), key=lambda group: (-group[0][0], group[0][1])):
+            start, end = own["start"].to_numpy(), own["end"].to_numpy()
+            order = np.argsort(low, kind="stable")
+            reach = np.concatenate(([-np.inf], np.maximum.accumulate(high[order])))  # of the chosen clips that begin before a time
+            new = start >= reach[np.searchsorted(low[order] + touch, end, "left")] - touch
+            kept.append(own[new])
+            low, high = np.concatenate((low, start[new])), np.concatenate((high, end[new]))
+        return pd.concat(kept)[names]
 
-    return clips.groupBy("media_id").applyInPandas(choose, clips.schema)
+    grouped = touching(sized, "start", "end", -touch, ["start", "end", "track"])
+    return grouped.groupBy("media_id", "__island").applyInPandas(choose, clips.schema)
 
 
 def matched_points(predicted: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
-    """One-to-one pairs of times (media_id, t) within the tolerance, nearest first; equal times are one."""
-    pairs = (
-        predicted.distinct().withColumnRenamed("t", "predicted")
-        .join(reference.distinct().withColumnRenamed("t", "reference"), "media_id")
-        .filter(f"abs(predicted - reference) <= {tolerance}")
-    )
+    """One-to-one pairs of times (media_id, t) within the tolerance, nearest first; equal times are one.
+
+    Points are cut where none follows within the tolerance; pairs never reach over such a gap.
+    """
+    sides = predicted.select("media_id", "t", F.lit(True).alias("found")).distinct().union(reference.select("media_id", "t", F.lit(False)).distinct())
+    order = W.partitionBy("media_id").orderBy("t", "found")
+    marked = sides.filter("t IS NOT NULL").withColumn("__gap", F.col("t") - F.lag("t").over(order))
+    cut = islands(marked, F.col("__gap") > tolerance, ["media_id"], ["t", "found"])
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(d=(rows["predicted"] - rows["reference"]).abs()).sort_values(["d", "reference", "predicted"])
+        p, r = (np.sort(rows.loc[rows["found"] == side, "t"].to_numpy()) for side in (True, False))
+        near = [(abs(x - y), y, x) for x in p for y in r[np.searchsorted(r, x - 2 * tolerance) : np.searchsorted(r, x + 2 * tolerance, "right")] if abs(x - y) <= tolerance]
         seen_p, seen_r, kept = set(), set(), []
-        for i, p, r in zip(rows.index, rows["predicted"], rows["reference"], strict=True):
-            if p not in seen_p and r not in seen_r:
-                seen_p.add(p)
-                seen_r.add(r)
-                kept.append(i)
-        return rows.loc[kept, ["media_id", "predicted", "reference"]]
+        for _, y, x in sorted(near):
+            if x not in seen_p and y not in seen_r:
+                seen_p.add(x)
+                seen_r.add(y)
+                kept.append((x, y))
+        return pd.DataFrame(kept, columns=["predicted", "reference"]).assign(media_id=rows["media_id"].iloc[0])[["media_id", "predicted", "reference"]]
 
-    return pairs.groupBy("media_id").applyInPandas(greedy, "media_id long, predicted double, reference double")
+    return cut.groupBy("media_id", "__island").applyInPandas(greedy, "media_id long, predicted double, reference double")
 
 
 def chosen_zooms(phrases: DataFrame, per_minute: float, least_gap: float, shortest: float, longest: float, floor: float = 0.2) -> DataFrame:
     """Zooms of each recording by falling probability, as many as the rate allows, none nearer than `least_gap` to another.
 
-    phrases: media_id, i, start, end, probability. A zoom ends with its phrase.
+    phrases: media_id, i, start, end, probability. A zoom ends with its phrase. Whether a phrase is near a
+    more probable choice depends on its neighbourhood alone, so neighbourhoods are judged one by one, and
+    the rate cuts the choices of a recording afterwards.
     """
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(float(shortest)))
+    zooms = phrases.withColumn("__begin", F.col("end") - F.least(length, F.lit(float(longest))))
+    quota = phrases.groupBy("media_id").agg(F.bround(F.sum((F.col("end") - F.col("start")).cast("decimal(20,6)")).cast("double") * per_minute / 60).alias("__quota"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        quota = round(per_minute * (rows["end"] - rows["start"]).sum() / 60)
-        taken: list[tuple[float, float, int]] = []
-        for i, s, e, p in rows.sort_values(["probability", "i"], ascending=[False, True])[["i", "start", "end", "probability"]].itertuples(index=False):
-            if len(taken) >= quota or p < floor:
-                break
-            begin = e - min(max(e - s, shortest), longest)
-            if all(begin - e2 >= least_gap or s2 - e >= least_gap for s2, e2, _ in taken):
-                taken.append((begin, e, int(i)))
-        out = pd.DataFrame(sorted(taken), columns=["start", "end", "i"])
-        return out.assign(media_id=rows["media_id"].iloc[0])[["media_id", "i", "start", "end"]]
-
-    return phrases.groupBy("media_id").applyInPandas(choose, "media_id long, i long, start double, end double")
+        taken: list[tuple[float, float]] = []
+        kept: list[int] = []
+        for n, begin, end in rows.sort_values(["probability", "i"], ascending=[False, True])[["__begin", "end"]].itertuples():
+            at = bisect.bisect_left(taken, (begin, end))
+            if all(begin - e >= least_gap or s - end >= least_gap for s, e in taken[max(0, at - 1) : at + 1]):
+                taken.insert(at, (begin, end))
+                kept.append(n)
+        return rows.loc[kept, ["media_id", "i", "__begin", "end", "probability"]]
+
+    likely = touching(zooms.filter(F.col("probability") >= floor), "__begin", "end", least_gap, ["__begin", "end", "i"])
+    free = likely.groupBy("media_id", "__island").applyInPandas(choose, "media_id long, i long, __begin double, end double, probability double")
+    placed = free.join(quota, "media_id").withColumn("__place", F.row_number().over(W.partitionBy("media_id").orderBy(F.desc("probability"), "i")))
+    return placed.filter("__place <= __quota").select("media_id", "i", F.col("__begin").alias("start"), "end")
 
 
 def edit_plan(phrases: DataFrame, pairs: DataFrame, target: float, pad: float = 0.12, retake: float = 0.5, tolerance: float = 0.05, strong: float = 0.8, near: float = 0.7) -> DataFrame:

@@ -74,11 +74,15 @@ FROM p GROUP BY media_id""")
 def timing_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.phrases(V.words(spark, sf_dir)).withColumn("dur", F.col("end_ms") - F.col("start_ms")).withColumn("n", F.col("last") - F.col("first") + 1)
     rows = rows.withColumn("gap", F.lead("start_ms").over(W.partitionBy("media_id").orderBy("phrase")) - F.col("end_ms"))
-    p = stats.nearest_percentile
-    return rows.groupBy("media_id").agg(
-        stats.or_default(p(F.col("n"), 5), 1).alias("words_p5"), stats.or_default(p(F.col("n"), 95), 5).alias("words_p95"),
-        stats.or_default(p(F.col("dur"), 5), 450).alias("ms_p5"), stats.or_default(p(F.col("dur"), 95), 2000).alias("ms_p95"),
-        F.median("gap").alias("gap_median"), p(F.when(F.col("gap") < 500, F.col("gap")), 90).alias("glue_p90"),
+    rows = V.settled(rows.select("media_id", "n", "dur", "gap"))
+    n, dur, gap = F.col("n"), F.col("dur"), F.col("gap")
+    places = stats.nearest_percentiles(
+        rows, ["media_id"], words_p5=(n, 5), words_p95=(n, 95), ms_p5=(dur, 5), ms_p95=(dur, 95), glue_p90=(F.when(gap < 500, gap), 90)
+    )
+    medians = rows.groupBy("media_id").agg(F.median("gap").alias("gap_median"))
+    return stats.with_columns_of(places, medians, ["media_id"]).select(
+        "media_id", stats.or_default(F.col("words_p5"), 1).alias("words_p5"), stats.or_default(F.col("words_p95"), 5).alias("words_p95"),
+        stats.or_default(F.col("ms_p5"), 450).alias("ms_p5"), stats.or_default(F.col("ms_p95"), 2000).alias("ms_p95"), "gap_median", "glue_p90",
     )
 
 
@@ -89,10 +93,11 @@ SELECT kind, count(DISTINCT media_id) AS recordings, count(*) * 60000 // greates
        {nearest(10, 'ms')} AS ms_p10, {nearest(90, 'ms')} AS ms_p90, median(ms)::DOUBLE AS ms_median FROM z GROUP BY kind""")
 def zoom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = V.event_points(spark, sf_dir).withColumn("ms", F.floor(F.col("value") * 1000).cast("bigint"))
-    return ms.groupBy("kind").agg(
-        F.count_distinct("media_id").alias("recordings"), F.floor(F.count("*") * 60000 / F.greatest(F.sum("ms"), F.lit(1))).cast("bigint").alias("per_minute"),
-        stats.nearest_percentile(F.col("ms"), 10).alias("ms_p10"), stats.nearest_percentile(F.col("ms"), 90).alias("ms_p90"), F.median("ms").alias("ms_median"),
-    )
+    totals = ms.groupBy("kind").agg(
+        F.count_distinct("media_id").alias("recordings"), F.floor(F.count("*") * 60000 / F.greatest(F.sum("ms"), F.lit(1))).cast("bigint").alias("per_minute"), F.median("ms").alias("ms_median")
+    )
+    places = stats.nearest_percentiles(ms, ["kind"], ms_p10=(F.col("ms"), 10), ms_p90=(F.col("ms"), 90))
+    return stats.with_columns_of(totals, places, ["kind"])
 
 
 @query(f"""WITH {EVENTS_SQL}, s AS (
@@ -166,10 +171,11 @@ def baseline_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.join(median, "media_id").groupBy("media_id").agg(error(F.col("m")).alias("mae_median"), error(F.lit(300)).alias("mae_fixed"))
 
 
-@query("SELECT name, CASE WHEN (row_number() OVER (ORDER BY name) - 1) % 4 = 3 THEN 'test' ELSE 'train' END AS part FROM (SELECT DISTINCT n_name AS name FROM nation)")
+@query("SELECT media_id, CASE WHEN (row_number() OVER (ORDER BY media_id) - 1) % 4 = 3 THEN 'test' ELSE 'train' END AS part FROM (SELECT DISTINCT conv_id AS media_id FROM conversations)")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).distinct()
-    return stats.holdout(names, ["name"])
+    """Each fourth recording is for the test."""
+    recordings = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id")).distinct()
+    return stats.holdout(recordings, ["media_id"])
 
 
 @query(f"""WITH {WORDS_SQL}, {PHRASES}, w AS (
@@ -214,7 +220,14 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.sentences(phrase_cards(V.words(spark, sf_dir)).select("media_id", "i", "start_ms", "end_ms", "text"))
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, {PHRASES}, a AS (
+  SELECT media_id, phrase AS i, start_ms AS s, end_ms AS e, greatest(0, start_ms - 80) AS raw FROM phrases
+), b AS (
+  SELECT *, max(raw) OVER (PARTITION BY media_id ORDER BY i) AS begin, lead(s) OVER w - e AS gap, lead(raw) OVER w AS next_raw FROM a WINDOW w AS (PARTITION BY media_id ORDER BY i)
+), c AS (
+  SELECT *, greatest(CASE WHEN gap BETWEEN 0 AND 300 THEN next_raw ELSE e + 150 END, begin + 450) AS fin, lead(begin) OVER (PARTITION BY media_id ORDER BY i) AS next FROM b
+)
+SELECT media_id, i, begin::BIGINT AS start_ms, (CASE WHEN next IS NULL THEN fin ELSE greatest(least(fin, next), begin) END)::BIGINT AS end_ms FROM c""")
 def timed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.phrases(V.words(spark, sf_dir)).select("media_id", F.col("phrase").alias("i"), "start_ms", "end_ms")
     return cards.apply_timing(rows, 80, 150, 300, 450)

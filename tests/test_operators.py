@@ -161,8 +161,10 @@ def test_statistics(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(1, x) for x in (5, 1, 9, 7)], "k long, x long")
-    assert df.groupBy("k").agg(stats.nearest_percentile(F.col("x"), 50).alias("p")).first().p == 7
-    assert df.agg(stats.nearest_percentile(F.when(F.col("x") > 99, F.col("x")), 50).alias("p")).first().p is None
+    places = stats.nearest_percentiles(df.union(spark.sql("SELECT CAST(NULL AS LONG), 4L")), ["k"], p=(F.col("x"), 50), none=(F.when(F.col("x") > 99, F.col("x")), 50), low=(F.col("x"), 0))
+    assert sorted(map(tuple, places.collect()), key=repr) == [(1, 7, None, 1), (None, 4, None, 4)]
+    split = stats.holdout(spark.range(1000), ["id"]).filter("part = 'test'")
+    assert sorted(r.id for r in split.collect()) == list(range(3, 1000, 4))
     modes = spark.createDataFrame([(1, 3, 0), (1, 2, 1), (1, 2, 2), (1, 3, 3)], "k long, v long, o long")
     assert stats.first_mode(modes, ["k"], "v", "o").first().v == 3
     ranked = spark.createDataFrame([(1, 0.1, 0), (1, 0.5, 1), (1, 0.5, 0), (1, 0.9, 1), (2, 1.0, 1)], "k long, s double, y long")
@@ -179,6 +181,61 @@ def test_tracks_and_matches(spark):
     assert rows(tracks.matched_points(p, r, 1.0), "predicted", "reference") == [(1.0, 1.4), (2.0, 1.9)]
 
 
+def test_islands_agree_with_whole_recordings(spark):
+    """Choices made island by island against plain loops over a recording, with ties and touching ends."""
+    rng = random.Random(3)
+    clips = [(m, rng.choice("abc"), s := rng.randrange(400) / 4, s + rng.randrange(1, 9) / 4) for m in (1, 2) for _ in range(120)]
+    want = []
+    for m in (1, 2):
+        own = [c for c in clips if c[0] == m]
+        taken = []
+        for track in sorted("abc", key=lambda t: (-sum(c[1] == t for c in own), t)):
+            taken += [c for c in own if c[1] == track and not any(c[2] < e - 1e-3 and c[3] > s + 1e-3 for _, _, s, e in taken)]
+        want += taken
+    df = spark.createDataFrame(clips, "media_id long, track string, start double, end double")
+    assert sorted(map(tuple, tracks.merge_tracks(df).collect())) == sorted(want)
+
+    said, at = [], 0.0
+    for i in range(200):
+        begin = at + rng.choice((0.0, 0.25, 5.0))
+        at = begin + rng.choice((0.5, 1.0, 2.5))
+        said.append((1, i, begin, at, rng.randrange(20) / 20))
+    chosen = []
+    for _, i, s, e, p in sorted(said, key=lambda r: (-r[4], r[1])):
+        b = e - min(max(e - s, 0.6), 1.3)
+        if len(chosen) < round(9.0 * sum(r[3] - r[2] for r in said) / 60) and p >= 0.2 and all(b - e2 >= 1.5 or s2 - e >= 1.5 for _, s2, e2 in chosen):
+            chosen.append((i, b, e))
+    phrases = spark.createDataFrame(said, "media_id long, i long, start double, end double, probability double")
+    assert rows(tracks.chosen_zooms(phrases, 9.0, 1.5, 0.6, 1.3), "i", "start", "end") == sorted(chosen)
+
+    p, r = ({rng.randrange(4000) / 8 for _ in range(n)} for n in (300, 200))
+    pairs = []
+    for _, y, x in sorted((abs(x - y), y, x) for x in p for y in r if abs(x - y) <= 1.0):
+        if x not in {a for a, _ in pairs} and y not in {b for _, b in pairs}:
+            pairs.append((x, y))
+    points = lambda v: spark.createDataFrame([(1, x) for x in v], "media_id long, t double")
+    assert rows(tracks.matched_points(points(p), points(r), 1.0), "predicted", "reference") == sorted(pairs)
+
+
+def test_timing_agrees_with_a_loop(spark):
+    rng = random.Random(5)
+    given, at = [], 0
+    for i in range(80):
+        at += rng.randrange(0, 500)
+        given.append((1, i, at, at + rng.randrange(1, 900)))
+        at += rng.randrange(0, 700)
+    start, end = [max(0, g[2] - 80) for g in given], [g[3] + 150 for g in given]
+    for n in range(80):
+        if n < 79 and 0 <= given[n + 1][2] - given[n][3] <= 300:
+            end[n] = start[n + 1]
+        end[n] = max(end[n], start[n] + 450)
+        if n < 79:
+            start[n + 1] = max(start[n + 1], start[n])
+            end[n] = max(min(end[n], start[n + 1]), start[n])
+    df = spark.createDataFrame(given, "media_id long, i long, start_ms long, end_ms long")
+    assert rows(cards.apply_timing(df, 80, 150, 300, 450), "i", "start_ms", "end_ms") == [(i, start[i], end[i]) for i in range(80)]
+
+
 def test_plan_drops_the_weakest(spark):
     said = spark.createDataFrame([(1, i, i * 2.0, i * 2.0 + 1.5, s, True) for i, s in enumerate((0.5, 0.1, 0.9, 0.2))], "media_id long, i long, start double, end double, score double, ends boolean")
     none = spark.createDataFrame([], "media_id long, first long, probability double")
