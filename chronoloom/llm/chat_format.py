@@ -6,9 +6,9 @@ the messages of the same conversation whose own words hash alike. The longest pi
 the outermost level names the message that is answered; following these links gives each
 message its thread and depth. Content is the message without quotes.
 
-Parsing stays inside the row. Hashes of own words are reduced to one row for each
-conversation and hash before the join, so a very common line is no heavier than another;
-links are followed by pointer doubling, in as many rounds as the logarithm of the longest
+Parsing stays inside the row and is done once: the parsed rows are written. Hashes of own
+words are reduced to one row for each conversation and hash before the join, so a very common
+line is no heavier than another; links are followed by pointer doubling, in as many rounds as the logarithm of the longest
 chain. No conversation is collected: order by (conv_id, thread_root, turn) to read one.
 """
 
@@ -23,12 +23,12 @@ from .common import require, table, written
 MARKS = r"^(?:[ \t]*>)*"
 #: A line that says who wrote what is quoted below it.
 ATTRIBUTION = r"(?i)^.*\bwrote:[ \t]*$"
-EDGES = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+BLANKS = " \t\n\r\f\x0b"
 GAPS = r"[ \t\n\r\f\x0B]+"
 
 
 def normalised(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(text, EDGES, ""), GAPS, " "))
+    return F.lower(F.regexp_replace(F.btrim(text, F.lit(BLANKS)), GAPS, " "))
 
 
 def pieces(text: Column) -> Column:
@@ -45,10 +45,14 @@ def parsed(df: DataFrame, text_col: str = "text") -> DataFrame:
         "__lines",
         F.transform(
             "__lines",
-            lambda x: F.struct(
-                F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"),
-                F.regexp_replace(x, MARKS + " ?", "").alias("body"),
-            ),
+            # most lines have no mark; they only lose one blank in front
+            lambda x: F.when(
+                F.contains(x, F.lit(">")),
+                F.struct(
+                    F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"),
+                    F.regexp_replace(x, MARKS + " ?", "").alias("body"),
+                ),
+            ).otherwise(F.struct(F.lit(0).alias("level"), F.when(F.startswith(x, F.lit(" ")), F.substring(x, 2, 2**31 - 1)).otherwise(x).alias("body"))),
         ),
     )
     level = lambda i: F.get("__lines", i)["level"]
@@ -57,7 +61,7 @@ def parsed(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform(
             "__lines",
             lambda x, i: F.struct(
-                F.when((x["level"] == 0) & x["body"].rlike(ATTRIBUTION) & (F.coalesce(level(i + 1), F.lit(0)) > 0), F.lit(-1))
+                F.when((x["level"] == 0) & (F.coalesce(level(i + 1), F.lit(0)) > 0) & x["body"].rlike(ATTRIBUTION), F.lit(-1))
                 .otherwise(x["level"])
                 .alias("level"),
                 x["body"].alias("body"),
@@ -73,7 +77,7 @@ def parsed(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
     own = F.array_join(F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     return (
-        starts.withColumn("content", F.regexp_replace(F.regexp_replace(own, EDGES, ""), r"\n[ \t]*(?:\n[ \t]*)+\n", "\n\n"))
+        starts.withColumn("content", F.regexp_replace(F.btrim(own, F.lit(BLANKS)), r"\n[ \t]*(?:\n[ \t]*)+\n", "\n\n"))
         .withColumn("own", pieces(F.col("content")))
         .withColumn(
             "quoted",
@@ -151,9 +155,8 @@ def format_chats(
     matter. An empty table gives an empty result.
     """
     require(df, conv_col, turn_col, role_col, text_col)
-    rows = parsed(
-        df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    )
+    messages = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    rows = written(parsed(messages).drop("text"), "chat-parsed")
     linked = threads(reply_links(rows.select("conv", "turn", "own", "quoted")))
     return (
         rows.select("conv", "turn", "role", "content", F.size("quoted").cast("bigint").alias("n_quotes"))
