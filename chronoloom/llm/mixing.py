@@ -28,6 +28,8 @@ DOCS_PER_SHARD = 512
 #: Blocks are so many words that there are about 2^24 of them, from 1 up to 2048 words.
 BLOCKS, LARGEST_BLOCK = 1 << 24, 2048
 SEED = 17
+#: Bins of quotients in one e-fold.
+QUOTIENT_BINS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -56,33 +58,49 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     )
 
 
-def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str) -> DataFrame:
+def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str, known: tuple[str, str] | None = None) -> DataFrame:
     """Adds `quota`: `seats` (a column, one value in each group) shared by votes, as Sainte-Laguë does.
 
+    known: columns with the group's sum of votes and its number of parties, or more, if there are such.
+
     Seats differ from the proportional share by less than half the share's part of the number
-    of parties, and one; so only the quotients within that distance are compared.
+    of parties, and one; so only the quotients within that distance are compared. They are counted
+    in narrow bins; bins above the one in which the seats run out win whole, and only the quotients
+    of that bin are put in order, so no task holds all parties of a large group.
     """
-    whole = W.partitionBy(*group)
+    if known:
+        summed = df.withColumn("__sum", F.col(known[0])).withColumn("__parties", F.col(known[1]))
+    else:
+        summed = df.join(df.groupBy(*group).agg(F.sum(votes).alias("__sum"), F.count("*").alias("__parties")), group)
     share = (
-        df.withColumn("__sum", F.sum(votes).over(whole))
-        .withColumn("__parties", F.count("*").over(whole))
+        summed
         .withColumn("__part", F.when(F.col("__sum") > 0, F.col(votes) / F.col("__sum")).otherwise(F.lit(0.0)))
         .withColumn("__near", F.ceil(F.col("__part") * F.col("__parties") / 2).cast("bigint") + 2)
         .withColumn("__base", F.floor(F.col("__part") * F.col(seats)).cast("bigint"))
         .withColumn("__sure", F.greatest(F.lit(0).cast("bigint"), F.col("__base") - F.col("__near")))
     )
-    wanted = share.withColumn("__open", F.col(seats) - F.sum("__sure").over(whole))
-    quotients = wanted.filter(F.col(votes) > 0).select(
-        *group, key, votes, "__open", F.explode(F.sequence("__sure", F.col("__base") + F.col("__near"))).alias("__k")
-    ).withColumn("__q", F.col(votes) / (2 * F.col("__k") + 1))
-    best = W.partitionBy(*group).orderBy(F.desc("__q"), key, "__k")
-    won = (
-        quotients.withColumn("__place", F.row_number().over(best))
-        .filter(F.col("__place") <= F.col("__open"))
-        .groupBy(*group, key)
-        .agg(F.count("*").alias("__won"))
+    quotients = (
+        share.filter(F.col(votes) > 0)
+        .select(*group, key, F.col(seats).alias("__seats"), F.col(votes).alias("__votes"), F.explode(F.sequence("__sure", F.col("__base") + F.col("__near"))).alias("__k"))
+        .withColumn("__q", F.col("__votes") / (2 * F.col("__k") + 1))
+        .withColumn("__bin", F.floor(-F.ln("__q") * QUOTIENT_BINS))
+    )
+    above = W.partitionBy(*group).orderBy(F.col("__bin").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    sure = share.groupBy(*group).agg(F.lit(None).cast("bigint").alias("__bin"), F.sum("__sure").alias("__n"), F.first(seats).alias("__seats"))
+    last = (
+        quotients.groupBy(*group, "__bin")
+        .agg(F.count("*").alias("__n"), F.first("__seats").alias("__seats"))
+        .unionByName(sure)
+        .withColumn("__left", F.col("__seats") - F.coalesce(F.sum("__n").over(above), F.lit(0)))
+        .filter("__bin IS NOT NULL AND __left > 0")
+        .groupBy(*group)
+        .agg(F.max("__bin").alias("__last"), F.min("__left").alias("__left"))
     )
-    return wanted.join(won, [*group, key], "left").select(
+    near = quotients.join(last, group)
+    best = W.partitionBy(*group).orderBy(F.desc("__q"), key, "__k")
+    ordered = near.filter("__bin = __last").withColumn("__place", F.row_number().over(best)).filter("__place <= __left")
+    won = near.filter("__bin < __last").select(*group, key).unionByName(ordered.select(*group, key)).groupBy(*group, key).agg(F.count("*").alias("__won"))
+    return share.join(won, [*group, key], "left").select(
         *df.columns, (F.col("__sure") + F.coalesce(F.col("__won"), F.lit(0))).cast("bigint").alias("quota")
     )
 
@@ -125,22 +143,25 @@ def mix_sources(
             F.lit(LARGEST_BLOCK), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("total"), F.lit(1)) / BLOCKS)))) 
         ).cast("bigint")
     )
-    targets = (
+    every = W.partitionBy("all")
+    targets = written(
         source_targets(sizes, weights, max_repeats)
         .withColumn("block", blocks)
         .withColumn("all", F.lit(0))
         .withColumn("blocks", F.floor(F.col("total") / F.col("block") + 0.5).cast("bigint"))
         .withColumn("shards", F.ceil(F.col("docs") / docs_per_shard).cast("bigint"))
+        .withColumn("targets", F.sum("target").over(every))
+        .withColumn("parties", F.count("*").over(every)),
+        "mix-targets",
     )
-    sources = written(apportion(targets, ["all"], "rank", "target", "blocks").withColumnRenamed("quota", "source_quota"), "mix-sources")
+    sources = written(apportion(targets, ["all"], "rank", "target", "blocks", ("targets", "parties")).withColumnRenamed("quota", "source_quota"), "mix-sources")
     placed = docs.join(
         sources.select(F.col("source").alias("__source"), "rank", "n", "target", "shards", "block", "source_quota"),
         F.col("source").eqNullSafe(F.col("__source")),
     ).withColumn("shard", seeded_number(F.reverse("order")) % F.col("shards"))
-    cells = placed.groupBy("rank", "shard").agg(
-        F.sum("size").alias("m"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota")
-    )
-    cells = written(apportion(cells, ["rank"], "shard", "m", "source_quota").select("rank", "shard", "m", "block", "quota"), "mix-shards")
+    totals = [F.sum("size").alias("m"), *[F.first(c).alias(c) for c in ("block", "source_quota", "n", "shards")]]
+    cells = written(placed.groupBy("rank", "shard").agg(*totals), "mix-cells")
+    cells = written(apportion(cells, ["rank"], "shard", "m", "source_quota", ("n", "shards")).select("rank", "shard", "m", "block", "quota"), "mix-shards")
     before = W.partitionBy("rank", "shard").orderBy("order", "id").rowsBetween(W.unboundedPreceding, -1)
     stream = (
         placed.drop("block")
