@@ -1,6 +1,6 @@
 """The registered queries of the training-text operators and their SQL."""
 
-from . import chat_format, decontamination, exact_dedup, language_id, mixing, near_dedup, quality, sharding, token_counts, warc
+from . import chat_format, clustering, decontamination, exact_dedup, language_id, merkle, mixing, near_dedup, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_centroids": clustering.op13_centroids,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op7_chat_formatting": chat_format.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_centroids": clustering.OP13_SQL,
 }
