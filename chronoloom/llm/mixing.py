@@ -5,8 +5,8 @@ source's size and the excess goes to the others by weight (water-filling, in clo
 over the sorted ratios of cap to weight). Equal blocks of words then go to the sources by
 the highest quotients target / (2k + 1), and each source's blocks to its shards by the same
 rule on the shards' sizes. A shard holds about `docs_per_shard` documents of one source,
-chosen by a seeded hash, so a hot source has more shards, not larger ones. In a shard the
-documents stand in seeded order; the shard's stream of words, repeated, is cut into blocks
+chosen by a seeded hash of id and text, so a hot source, or an id of many rows, has more shards, not
+larger ones. In a shard the documents stand in seeded order; the shard's stream of words, repeated, is cut into blocks
 and the first `quota` of them are taken.
 
 Texts are read once. What moves is one small row per document; sources and shards have one
@@ -37,6 +37,12 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def place_in_order(id_col: str, text_col: str, seed: int) -> Column:
+    """Hex digits by which rows are dealt to shards and stand in them: of id and text, so rows of one id are spread, too."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return seeded(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), seed)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, docs, n) with rank, weight, total and target added. One row per source, so one task."""
     every = W.orderBy("ratio", "rank").rowsBetween(W.unboundedPreceding, -1)
@@ -121,7 +127,7 @@ def mix_sources(
     size: words of the text, 0 for null. target: of the row's source. taken: words of the row
     that the mix takes, repeats counted, at most `max_repeats` times size. A null source is a
     source of its own, the last; the empty string is another. Rows that repeat an id count
-    each. Where all texts are empty, targets and taken are 0. An empty table gives an empty
+    each; only those that repeat id and text share a place in the order, and they are alike. Where all texts are empty, targets and taken are 0. An empty table gives an empty
     result. Other columns don't matter. `block`: words in a block; by default about 2^24
     blocks in all, each of 1 to 2048 words. Equal inputs, parameters and seed take alike.
     """
@@ -131,7 +137,7 @@ def mix_sources(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             words(F.col(text_col)).alias("size"),
-            seeded(id_col, seed).alias("order"),
+            place_in_order(id_col, text_col, seed).alias("order"),
         ),
         "mix-sizes",
     )
@@ -188,7 +194,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = rf"""
 WITH d AS (
   SELECT doc_id AS id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS ord
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord
   FROM documents
 ), s0 AS (
   SELECT source, count(*) AS docs, sum(size)::BIGINT AS n FROM d GROUP BY source

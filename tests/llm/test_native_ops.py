@@ -195,3 +195,17 @@ def test_chats_against_sql(spark, tmp_path, duck):
 
 def test_no_chats(spark):
     assert chat_format.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_mix_of_repeated_ids_does_not_depend_on_row_order(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3, i]), "w " * rng.randint(0, 30) + f"x{rng.randint(0, 9)}", "en", rng.choice(["a", "b", "c", None]), 1) for i in range(3000)]
+    rows += [(5, "same id, other text " + str(i) * (i % 7), "en", "a", 1) for i in range(2000)] + [(6, "same", "en", "b", 1)] * 50
+    got = [spark_rows(mixing.mix_sources(spark.createDataFrame(order, DOCS).repartition(parts))) for order, parts in ((rows, 3), (rows[::-1], 7), (sorted(rows, key=repr), 1))]
+    assert got[0] == got[1] == got[2] and len(got[0][1]) == len(rows)
+
+
+def test_rows_of_one_id_are_dealt_over_shards(spark):
+    df = spark.createDataFrame([(5, f"text {i}", "en", "a", 1) for i in range(3000)], DOCS)
+    order = df.select(mixing.place_in_order("doc_id", "text", mixing.SEED).alias("o"))
+    assert order.distinct().count() == 3000
