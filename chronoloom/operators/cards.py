@@ -100,42 +100,46 @@ def cards(words: DataFrame, rule: Rule = SHORT) -> DataFrame:
 
 
 def sentence_buckets(rows: list[tuple[str, float, float]], soft: int = 5, most: int = 14, hard: int = 24, most_s: float = 6.0, least_s: float = 1.2) -> list[list[int]]:
-    """Cards (text, start, end) grouped to sentences: lists of their numbers."""
-    count = lambda ns: sum(len(rows[n][0].split()) for n in ns)
-    first_word = lambda n: (rows[n][0].lower().split() or [""])[0].strip(".,;:?!…") if n < len(rows) else ""
-    last_word = lambda n: (rows[n][0].lower().split() or [""])[-1].strip(".,;:?!…")
-    done: list[list[int]] = []
-    open_: list[int] = []
-    comma = -1
-    for n, (text, _, end) in enumerate(rows):
-        open_.append(n)
-        tail = text.rstrip()
-        goes_on = first_word(n + 1) in CONTINUATION
-        if tail.endswith(HARD_STOPS):
-            done, open_, comma = [*done, open_], [], -1
-        elif tail.endswith(SOFT_STOPS):
-            if count(open_) >= soft and not goes_on:
-                done, open_, comma = [*done, open_], [], -1
-            else:
-                comma = n
-        elif count(open_) >= most or end - rows[open_[0]][1] >= most_s:
-            if open_[0] <= comma < n:
-                done.append([k for k in open_ if k <= comma])
-                open_ = [k for k in open_ if k > comma]
-            elif not goes_on and last_word(n) not in DANGLING or count(open_) >= hard:
-                done, open_ = [*done, open_], []
+    """Cards (text, start, end) grouped to sentences: lists of their numbers.
+
+    One pass with running counts, then one that joins sentences of under `least_s` to their neighbour of fewer words.
+    """
+    texts = [text.strip() for text, _, _ in rows]
+    goes_on = [t.split(" ")[0].lower() in CONTINUATION for t in texts[1:]] + [False]
+    dangles = [t.split(" ")[-1].lower() in DANGLING for t in texts]
+    before = [0]  # words before each card
+    for text, _, _ in rows:
+        before.append(before[-1] + len(text.split()))
+    cuts, first, comma = [], 0, -1  # first cards of the sentences after the first; where the open one begins; its last comma
+    for n, (_, _, end) in enumerate(rows):
+        said = before[n + 1] - before[first]
+        if texts[n].endswith(HARD_STOPS) or texts[n].endswith(SOFT_STOPS) and said >= soft and not goes_on[n]:
+            first, comma = n + 1, -1
+        elif texts[n].endswith(SOFT_STOPS):
+            comma = n
+            continue
+        elif said >= most or end - rows[first][1] >= most_s:
+            if first <= comma < n:
+                first = comma + 1
+            elif not (goes_on[n] or dangles[n]) or said >= hard:
+                first = n + 1
             comma = -1
-    if open_:
-        done.append(open_)
-    while len(done) > 1:
-        short = next((k for k, b in enumerate(done) if rows[b[-1]][2] - rows[b[0]][1] < least_s), None)
-        if short is None:
-            break
-        sides = [k for k in (short - 1, short + 1) if 0 <= k < len(done)]
-        other = min(sides, key=lambda k: (count(done[k]), k))
-        low, high = sorted((short, other))
-        done[low : high + 1] = [done[low] + done[high]]
-    return done
+        if first and (not cuts or cuts[-1] != first):
+            cuts.append(first)
+    edges = [0, *[c for c in cuts if c < len(rows)], len(rows)]
+    waiting = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b][::-1]
+    done: list[tuple[int, int]] = []
+    while waiting:
+        a, b = waiting.pop()
+        if rows[b - 1][2] - rows[a][1] >= least_s or not (done or waiting):
+            done.append((a, b))
+            continue
+        sides = [before[d] - before[c] for c, d in (*done[-1:], *waiting[-1:])]
+        if done and (len(sides) == 1 or sides[0] <= sides[1]):
+            done[-1] = (done[-1][0], b)
+        else:
+            waiting[-1] = (a, waiting[-1][1])
+    return [list(range(a, b)) for a, b in done]
 
 
 def sentences(cards_: DataFrame) -> DataFrame:

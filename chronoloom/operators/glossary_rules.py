@@ -121,12 +121,17 @@ def fixed_gender(source: Column, line: Column, glossary: Column) -> Column:
 def inferred_gender(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(media_id, name) with the gender that most signs in its recording's lines (media_id, text) with that name speak for.
 
-    Lines meet names by the words they have in common, so the work is a join on (recording, word).
+    An index of the lines' words finds the lines that have a name's first word; only in those a name of several words, or
+    with other marks, is looked for as a whole. So the work is a join on (recording, word), never lines by names.
     """
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("word")
+    other = r"[^\p{L}\p{N}_]+"
+    word = F.explode(F.array_distinct(F.split(F.lower("text"), other))).alias("word")
     male, female = F.regexp_count("text", F.lit(MALE_SIGNS)), F.regexp_count("text", F.lit(FEMALE_SIGNS))
-    said = lines.select("media_id", male.alias("male"), female.alias("female"), word)
-    met = names.withColumn("word", F.lower("name")).join(said, ["media_id", "word"], "left")
-    sums = met.groupBy("media_id", "name").agg(F.coalesce(F.sum("male"), F.lit(0)).alias("male"), F.coalesce(F.sum("female"), F.lit(0)).alias("female"))
+    said = lines.select("media_id", "text", male.alias("male"), female.alias("female"), word)
+    wanted = names.select("media_id", "name").distinct().withColumn("word", F.get(F.filter(F.split(F.lower("name"), other), lambda w: w != ""), F.lit(0)))
+    single = F.col("word") == F.lower("name")
+    met = wanted.join(said, ["media_id", "word"]).filter(single | (F.regexp_count("text", _word(F.col("name"))) > 0))
+    sums = met.groupBy("media_id", "name").agg(F.sum("male").alias("male"), F.sum("female").alias("female"))
+    counted = wanted.drop("word").join(sums, ["media_id", "name"], "left").fillna(0, ["male", "female"])
     gender = F.when(F.col("male") > F.col("female"), "male").when(F.col("female") > F.col("male"), "female").otherwise("unknown")
-    return sums.withColumn("gender", gender)
+    return counted.withColumn("gender", gender)

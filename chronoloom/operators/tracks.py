@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,71 +70,3 @@ def matched_points(predicted: DataFrame, reference: DataFrame, tolerance: float)
         return pd.DataFrame(kept, columns=["predicted", "reference"]).assign(media_id=rows["media_id"].iloc[0])[["media_id", "predicted", "reference"]]
 
     return cut.groupBy("media_id", "__island").applyInPandas(greedy, "media_id long, predicted double, reference double")
-
-
-def chosen_zooms(phrases: DataFrame, per_minute: float, least_gap: float, shortest: float, longest: float, floor: float = 0.2) -> DataFrame:
-    """Zooms of each recording by falling probability, as many as the rate allows, none nearer than `least_gap` to another.
-
-    phrases: media_id, i, start, end, probability. A zoom ends with its phrase. Whether a phrase is near a
-    more probable choice depends on its neighbourhood alone, so neighbourhoods are judged one by one, and
-    the rate cuts the choices of a recording afterwards.
-    """
-    length = F.greatest(F.col("end") - F.col("start"), F.lit(float(shortest)))
-    zooms = phrases.withColumn("__begin", F.col("end") - F.least(length, F.lit(float(longest))))
-    quota = phrases.groupBy("media_id").agg(F.bround(F.sum((F.col("end") - F.col("start")).cast("decimal(20,6)")).cast("double") * per_minute / 60).alias("__quota"))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[float, float]] = []
-        kept: list[int] = []
-        for n, begin, end in rows.sort_values(["probability", "i"], ascending=[False, True])[["__begin", "end"]].itertuples():
-            at = bisect.bisect_left(taken, (begin, end))
-            if all(begin - e >= least_gap or s - end >= least_gap for s, e in taken[max(0, at - 1) : at + 1]):
-                taken.insert(at, (begin, end))
-                kept.append(n)
-        return rows.loc[kept, ["media_id", "i", "__begin", "end", "probability"]]
-
-    likely = touching(zooms.filter(F.col("probability") >= floor), "__begin", "end", least_gap, ["__begin", "end", "i"])
-    free = likely.groupBy("media_id", "__island").applyInPandas(choose, "media_id long, i long, __begin double, end double, probability double")
-    placed = free.join(quota, "media_id").withColumn("__place", F.row_number().over(W.partitionBy("media_id").orderBy(F.desc("probability"), "i")))
-    return placed.filter("__place <= __quota").select("media_id", "i", F.col("__begin").alias("start"), "end")
-
-
-def edit_plan(phrases: DataFrame, pairs: DataFrame, target: float, pad: float = 0.12, retake: float = 0.5, tolerance: float = 0.05, strong: float = 0.8, near: float = 0.7) -> DataFrame:
-    """Ranges to keep of each recording: (media_id, start, end).
-
-    phrases: media_id, i, start, end, score, ends (whether it ends a sentence); pairs: media_id,
-    first, probability of a retake. First halves of likely retakes go; then the phrases of
-    lowest score, until the ranges last at most (1 + tolerance) target. A phrase right before
-    a strong kept one stays if its sentence goes on.
-    """
-    dropped = pairs.filter(f"probability >= {retake}").select("media_id", "first").distinct().withColumnRenamed("first", "i").selectExpr("media_id", "i", "true AS gone")
-    marked = phrases.join(dropped, ["media_id", "i"], "left")
-
-    def ranges(rows: list, kept: set[int]) -> list[tuple[float, float]]:
-        out: list[tuple[float, float]] = []
-        for n, r in enumerate(rows):
-            if n not in kept:
-                continue
-            before = r.start - rows[n - 1].end if n else 0.0
-            after = rows[n + 1].start - r.end if n + 1 < len(rows) else 0.0
-            low = r.start - (0.55 * min(before, 0.3) if n - 1 in kept else min(pad, max(before, 0.0)))
-            high = r.end + (0.45 * min(after, 0.3) if n + 1 in kept else min(pad, max(after, 0.0)))
-            if out and low <= out[-1][1] + 0.05:
-                out[-1] = (out[-1][0], max(high, out[-1][1]))
-            else:
-                out.append((low, high))
-        return out
-
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = list(frame.sort_values("i").itertuples(index=False))
-        kept = {n for n, r in enumerate(rows) if not (r.gone is True)}
-        for n in sorted(kept, key=lambda n: rows[n].score):
-            if sum(e - s for s, e in ranges(rows, kept)) <= target * (1 + tolerance):
-                break
-            nxt = rows[n + 1] if n + 1 in kept else None
-            if nxt is not None and nxt.score >= strong and nxt.start - rows[n].end < near and not rows[n].ends:
-                continue
-            kept.discard(n)
-        return pd.DataFrame(ranges(rows, kept), columns=["start", "end"]).assign(media_id=frame["media_id"].iloc[0])[["media_id", "start", "end"]]
-
-    return marked.groupBy("media_id").applyInPandas(plan, "media_id long, start double, end double")

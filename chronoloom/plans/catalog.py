@@ -1,9 +1,9 @@
 """Registry of the timeline queries and the SQL they are held against."""
 
-from chronoloom.plans import details, editing, jobs, metrics, rules, speech
+from chronoloom.plans import cutting, details, editing, jobs, metrics, rules, speech
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (speech, editing, metrics, jobs, details, rules):
+for module in (speech, editing, cutting, metrics, jobs, details, rules):
     QUERIES |= module.Q
     ORACLE_SQL |= module.SQL

@@ -227,3 +227,15 @@ def marker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = S.phrases(V.words(spark, sf_dir)).withColumn("keep", (F.col("phrase") % 5 != 2) & (F.col("phrase") % 7 != 3))
     first = marked.withColumn("before", F.coalesce(F.lag("keep").over(order), F.lit(True))).filter("NOT keep AND before")
     return first.select("media_id", F.row_number().over(order).cast("bigint").alias("n"), F.col("start_ms").alias("t_ms"), F.substring("text", 1, 40).alias("name"))
+
+
+@query(f"""WITH {WORDS_SQL}, {PHRASES}
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY phrase) - 1)::INTEGER AS pos, {SRT_LINE.format('start_ms')} AS start, {SRT_LINE.format('end_ms')} AS "end", text FROM phrases""")
+def srt_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with line ends of three kinds, read back."""
+    from chronoloom.sources.captions import srt_documents, srt_entries
+
+    written = srt_documents(S.phrases(V.words(spark, sf_dir)).withColumn("n", F.col("phrase") + 1))
+    ends = F.when(F.col("media_id") % 3 == 0, "\r\n").when(F.col("media_id") % 3 == 1, "\r").otherwise("\n")
+    texts = written.select(F.col("media_id").cast("string").alias("path"), F.replace("document", F.lit("\n"), ends).alias("value"))
+    return srt_entries(texts).select(F.col("path").cast("bigint").alias("media_id"), "pos", "start", "end", "text")

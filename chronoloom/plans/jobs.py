@@ -36,45 +36,61 @@ def proper_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VA.candidate_names(words.join(first, ["media_id", "segment_id"]).withColumn("pos", F.col("i") - F.col("first")))
 
 
-@query(rf"""WITH {WORDS_SQL}, t AS (
-  SELECT media_id, segment_id, text, CASE WHEN segment_id % 3 = 0 THEN '我不知道' WHEN segment_id % 3 = 1 THEN '我知道' ELSE '没有' END AS line FROM segs
+#: What is added to a segment's text, and to its translation back, by the segment's number.
+SAID = ["", " e não vai", " FALTOU fazer", " vai nadar, nemesis", " sem ela", " Ninguém sabe", " senão", " nenhuma"]
+
+
+@query(f"""WITH {WORDS_SQL}, t AS (
+  SELECT media_id, segment_id, text || ({SAID})[segment_id % 8 + 1] AS a, text || ({SAID})[segment_id // 3 % 8 + 1] AS b FROM segs
 ), n AS (
-  SELECT media_id, segment_id, regexp_extract(text, '{VA.NEGATIONS["source"]}', 1) AS a, regexp_extract(line, '{VA.NEGATIONS["target"]}', 1) AS b FROM t
+  SELECT *, ['não', 'nao', 'nunca', 'nem', 'nenhum', 'nenhuma', 'ninguém', 'ninguem', 'nada', 'jamais', 'sem', 'faltou', 'falta', 'faltava', 'faltar', 'faltaram'] AS no FROM t
+), f AS (
+  SELECT media_id, segment_id, list_filter(regexp_extract_all(lower(a), '[\\pL\\pN_]+'), lambda w: list_contains(no, w))[1] AS a, list_filter(regexp_extract_all(lower(b), '[\\pL\\pN_]+'), lambda w: list_contains(no, w))[1] AS b FROM n
 )
-SELECT media_id, segment_id, CASE WHEN a <> '' AND b = '' THEN 'source: ' || lower(a) WHEN a = '' AND b <> '' THEN 'target: ' || b END AS mismatch FROM n""")
+SELECT media_id, segment_id, CASE WHEN a IS NOT NULL AND b IS NULL THEN 'source: ' || a WHEN a IS NULL AND b IS NOT NULL THEN 'target: ' || b END AS mismatch FROM f""")
 def negation_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.when(F.col("segment_id") % 3 == 0, "我不知道").when(F.col("segment_id") % 3 == 1, "我知道").otherwise("没有")
-    return V.segments(V.words(spark, sf_dir)).select("media_id", "segment_id", VA.negation_mismatch(F.col("text"), line).alias("mismatch"))
+    n, said = F.col("segment_id"), F.array(*[F.lit(x) for x in SAID])
+    source, back = (F.concat("text", F.get(said, k.cast("int"))) for k in (n % 8, F.floor(n / 3) % 8))
+    return V.segments(V.words(spark, sf_dir)).select("media_id", "segment_id", VA.negation_mismatch(source, back).alias("mismatch"))
+
+
+#: Lines of groups by number.
+LINES = ["好", "OK吧", "长" * 21, "你好,世界", "Ünï", "什么？！", "他说:“好”"]
 
 
 @query(f"""WITH {WORDS_SQL}, {PHRASES}, c AS (
   SELECT media_id, phrase AS card FROM phrases
 ), g AS (
-  SELECT media_id, phrase // 3 AS grp, list(phrase ORDER BY CASE WHEN phrase // 3 % 7 = 3 THEN -phrase ELSE phrase END) AS cards, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
-         CASE WHEN phrase // 3 % 5 = 1 THEN ' ' WHEN phrase // 3 % 5 = 2 THEN repeat('长', 50) WHEN phrase // 3 % 5 = 3 THEN 'latin' ELSE '好' END AS line
-  FROM phrases WHERE phrase % 10 <> 9 GROUP BY media_id, phrase // 3
+  SELECT media_id, (phrase // 3)::BIGINT AS grp, list(phrase ORDER BY CASE WHEN phrase // 3 % 7 = 3 AND media_id % 3 = 1 THEN -phrase ELSE phrase END) AS cards, min(start_ms) AS start_ms, max(end_ms) AS end_ms
+  FROM phrases WHERE media_id % 3 > 0 OR phrase % 10 <> 9 GROUP BY media_id, phrase // 3
 ), g2 AS (
-  SELECT media_id, grp, CASE WHEN grp % 11 = 4 THEN list_concat(cards, [cards[1], 100000]) ELSE cards END AS cards, start_ms, end_ms, line FROM g
+  SELECT media_id, grp, CASE WHEN grp % 11 = 4 AND media_id % 3 = 0 THEN list_concat(cards, [cards[1], 100000]) ELSE cards END AS cards, start_ms, end_ms,
+         ({LINES})[grp % 7 + 1] AS line, CASE WHEN grp % 6 = 5 THEN 'look' ELSE '' END AS flag FROM g
 ), u AS (
-  SELECT media_id, grp, unnest(cards) AS card FROM g2
+  SELECT media_id, grp, unnest(range(len(cards))) AS pos, unnest(cards) AS card FROM g2
+), cov AS (
+  SELECT media_id, 'missing' AS rule, card::BIGINT::VARCHAR AS detail FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.media_id = c.media_id AND u.card = c.card)
+  UNION ALL SELECT DISTINCT media_id, 'unknown', card::BIGINT::VARCHAR FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE u.media_id = c.media_id AND u.card = c.card)
+  UNION ALL SELECT media_id, 'repeated', card::BIGINT::VARCHAR FROM u JOIN c USING (media_id, card) GROUP BY media_id, card HAVING count(*) > 1
+), seqs AS (
+  SELECT media_id, list(card ORDER BY grp, pos) AS cards, list(grp ORDER BY grp, pos) AS grps FROM u WHERE media_id NOT IN (SELECT media_id FROM cov) GROUP BY media_id
 )
-SELECT media_id, 'missing' AS rule, card::BIGINT::VARCHAR AS detail FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.media_id = c.media_id AND u.card = c.card)
-UNION ALL SELECT media_id, 'unknown', card::BIGINT::VARCHAR FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE u.media_id = c.media_id AND u.card = c.card)
-UNION ALL SELECT media_id, 'repeated', card::BIGINT::VARCHAR FROM u GROUP BY media_id, card HAVING count(*) > 1
-UNION ALL SELECT media_id, 'order', grp::BIGINT::VARCHAR FROM g2 WHERE cards <> list_sort(cards)
-UNION ALL SELECT media_id, 'empty', grp::BIGINT::VARCHAR FROM g2 WHERE trim(line) = ''
-UNION ALL SELECT media_id, 'long', grp::BIGINT::VARCHAR FROM g2 WHERE length(line) > 42
-UNION ALL SELECT media_id, 'short', grp::BIGINT::VARCHAR FROM g2 WHERE end_ms - start_ms < 500
-UNION ALL SELECT media_id, 'script', grp::BIGINT::VARCHAR FROM g2 WHERE regexp_matches(line, '[a-z]')""")
+FROM cov
+UNION ALL SELECT media_id, 'order', grps[list_filter(range(2, len(cards) + 1), lambda k: cards[k] < cards[k - 1])[1]]::BIGINT::VARCHAR FROM seqs WHERE cards <> list_sort(cards)
+UNION ALL SELECT media_id, 'short', grp::BIGINT::VARCHAR FROM g2 WHERE end_ms - start_ms < 1200
+UNION ALL SELECT media_id, 'flag', grp::BIGINT::VARCHAR || ': look' FROM g2 WHERE flag <> ''
+UNION ALL SELECT media_id, 'script', grp::BIGINT::VARCHAR FROM g2 WHERE regexp_matches(line, '[A-Za-z]')
+UNION ALL SELECT media_id, 'marks', grp::BIGINT::VARCHAR FROM g2 WHERE translate(line, ',.;:!?"''()', '') <> line
+UNION ALL SELECT media_id, 'long', grp::BIGINT::VARCHAR FROM g2 WHERE length(line) > 20""")
 def group_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = S.phrases(V.words(spark, sf_dir))
-    numbered = phrases.filter("phrase % 10 <> 9").withColumn("group", F.expr("phrase DIV 3"))
-    turned = F.when(F.col("group") % 7 == 3, F.reverse(F.array_sort("cards"))).otherwise(F.array_sort("cards"))
-    line = F.when(F.col("group") % 5 == 1, " ").when(F.col("group") % 5 == 2, "长" * 50).when(F.col("group") % 5 == 3, "latin").otherwise("好")
-    groups = numbered.groupBy("media_id", "group").agg(F.collect_list("phrase").alias("cards"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    groups = groups.withColumn("cards", turned).withColumn("line", line)
-    groups = groups.withColumn("cards", F.when(F.col("group") % 11 == 4, F.concat("cards", F.array(F.get("cards", 0), F.lit(100000)))).otherwise(F.col("cards")))
-    return VA.group_violations(groups, phrases.select("media_id", F.col("phrase").alias("card")))
+    phrases = S.phrases(V.words_once(spark, sf_dir))
+    m, k = F.col("media_id") % 3, F.col("group")
+    numbered = phrases.filter((m > 0) | (F.col("phrase") % 10 != 9)).withColumn("group", F.expr("phrase DIV 3"))
+    groups = numbered.groupBy("media_id", "group").agg(F.array_sort(F.collect_list("phrase")).alias("cards"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    turned = F.when((k % 7 == 3) & (m == 1), F.reverse("cards")).when((k % 11 == 4) & (m == 0), F.concat("cards", F.array(F.get("cards", 0), F.lit(100000)))).otherwise(F.col("cards"))
+    line, flag = F.get(F.array(*[F.lit(x) for x in LINES]), (k % 7).cast("int")), F.when(k % 6 == 5, "look").otherwise("")
+    groups = groups.withColumn("cards", turned).withColumn("line", line).withColumn("flag", flag)
+    return VA.group_violations(groups, phrases.select("media_id", F.col("phrase").alias("card"), "text"))
 
 
 @query("""WITH s AS (SELECT n_name AS source, 'kept ' || n_nationkey AS rendering FROM nation WHERE n_nationkey % 2 = 0),

@@ -233,25 +233,6 @@ def timed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.apply_timing(rows, 80, 150, 300, 450)
 
 
-def scored_phrases(words: DataFrame) -> DataFrame:
-    """Phrases with a probability by rule, in the model's place."""
-    rows = S.phrases(words).withColumn("start", F.col("start_ms") / 1000).withColumn("end", F.col("end_ms") / 1000)
-    return rows.select("media_id", F.col("phrase").alias("i"), "start", "end", (F.col("phrase") * 37 % 100 / 100).alias("probability"), F.col("text").rlike("[.?!…]$").alias("ends"))
-
-
-@query()
-def zoom_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.chosen_zooms(scored_phrases(V.words(spark, sf_dir)).drop("ends"), 6.0, 3.0, 0.6, 1.3)
-
-
-@query()
-def edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = V.words_once(spark, sf_dir)
-    phrases = scored_phrases(words).withColumnRenamed("probability", "score")
-    pairs = align.retake_pairs(S.phrases(words), least=0.3).select("media_id", "first", F.col("similarity").alias("probability"))
-    return tracks.edit_plan(phrases, pairs, 60.0)
-
-
 @query()
 def tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks between words predicted by a tree from gap features, learnt on three of four recordings; F1 by part."""

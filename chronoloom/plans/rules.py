@@ -119,21 +119,27 @@ def gender_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("c_custkey", G.fixed_gender(F.col("source"), F.col("line"), F.col("glossary")).alias("fixed"))
 
 
-@query(rf"""WITH {LINES}, one AS (SELECT media_id, name FROM ch WHERE name NOT LIKE '% %'), g AS (
+@query(rf"""WITH {LINES}, nm AS (
+  SELECT media_id, replace(name, '_', ' ') AS name FROM ch
+), sd AS (
+  SELECT media_id, replace(source, '_', ' ') AS source FROM ln
+), g AS (
   SELECT o.media_id, o.name, coalesce(sum(len(regexp_extract_all(source, '(?i)\b(o|ele|dele|rejeitado|sozinho|irmao|filho|tio)\b'))), 0)::BIGINT AS male,
          coalesce(sum(len(regexp_extract_all(source, '(?i)\b(a|ela|dela|rejeitada|sozinha|irma|filha|tia)\b'))), 0)::BIGINT AS female
-  FROM one o LEFT JOIN ln ON ln.media_id = o.media_id AND regexp_matches(source, '(?i)\b' || o.name || '\b') GROUP BY o.media_id, o.name
+  FROM nm o LEFT JOIN sd ON sd.media_id = o.media_id AND regexp_matches(source, '(?i)\b' || o.name || '\b') GROUP BY o.media_id, o.name
 )
 SELECT media_id, name, male, female, CASE WHEN male > female THEN 'male' WHEN female > male THEN 'female' ELSE 'unknown' END AS gender FROM g""")
 def inferred_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = characters(spark, sf_dir).select("media_id", "name").filter("NOT contains(name, ' ')")
-    return G.inferred_gender(lines(spark, sf_dir).select("media_id", F.col("source").alias("text")), names)
+    """Genders of names of two words each."""
+    apart = lambda c: F.translate(c, "_", " ")
+    names = characters(spark, sf_dir).select("media_id", apart("name").alias("name"))
+    return G.inferred_gender(lines(spark, sf_dir).select("media_id", apart("source").alias("text")), names)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN r ELSE floor((40 * r + 60 * j) / 100 + 0.5)::BIGINT END AS score
-FROM (SELECT *, (o_totalprice / 100)::BIGINT AS r, o_custkey % 11 * 1000 AS j FROM orders)""")
+FROM (SELECT *, (round(o_totalprice * 100)::BIGINT + 5000) // 10000 AS r, o_custkey % 11 * 1000 AS j FROM orders)""")
 def judged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = F.round(F.col("o_totalprice") / 100).cast("bigint")
+    rule = F.floor((F.round(F.col("o_totalprice") * 100).cast("bigint") + 5000) / 10000).cast("bigint")
     judge = F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 11 * 1000)
     return V.table(spark, sf_dir, "orders").select("o_orderkey", J.candidate_score(rule, judge).alias("score"))
 

@@ -14,12 +14,17 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def srt_entries(texts: DataFrame) -> DataFrame:
-    """Strict reading of (path, value): blocks set off by blank lines, number, times, text; times stay text."""
-    blocks = texts.select("path", F.posexplode(F.split(F.trim("value"), "\n\n")).alias("pos", "block"))
-    lines = blocks.withColumn("ls", F.split(F.regexp_replace("block", "^\n+|\n+$", ""), "\n")).filter(F.size("ls") >= 2)
-    times = F.split(F.get("ls", 1), " --> ")
+    """Strict reading of (path, value), with any line ends: blocks set off by blank lines, number, times, text; times stay text.
+
+    Blocks of one line go. A time line without an arrow has null as its end.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    unix = F.regexp_replace("value", "\r\n?", "\n")
+    blocks = texts.select("path", F.posexplode(F.filter(F.split(bare(unix), "\n\n"), lambda b: bare(b) != "")).alias("pos", "block"))
+    lines = blocks.withColumn("ls", F.split(bare(F.col("block")), "\n")).filter(F.size("ls") >= 2)
+    times = F.split(F.get("ls", 1), "-->")
     return lines.select(
-        "path", "pos", F.trim(F.get(times, 0)).alias("start"), F.trim(F.get(times, 1)).alias("end"),
+        "path", "pos", bare(F.get(times, 0)).alias("start"), bare(F.get(times, 1)).alias("end"),
         F.array_join(F.slice("ls", F.lit(3), F.size("ls")), "\n").alias("text"),
     )
 

@@ -195,19 +195,6 @@ def test_islands_agree_with_whole_recordings(spark):
     df = spark.createDataFrame(clips, "media_id long, track string, start double, end double")
     assert sorted(map(tuple, tracks.merge_tracks(df).collect())) == sorted(want)
 
-    said, at = [], 0.0
-    for i in range(200):
-        begin = at + rng.choice((0.0, 0.25, 5.0))
-        at = begin + rng.choice((0.5, 1.0, 2.5))
-        said.append((1, i, begin, at, rng.randrange(20) / 20))
-    chosen = []
-    for _, i, s, e, p in sorted(said, key=lambda r: (-r[4], r[1])):
-        b = e - min(max(e - s, 0.6), 1.3)
-        if len(chosen) < round(9.0 * sum(r[3] - r[2] for r in said) / 60) and p >= 0.2 and all(b - e2 >= 1.5 or s2 - e >= 1.5 for _, s2, e2 in chosen):
-            chosen.append((i, b, e))
-    phrases = spark.createDataFrame(said, "media_id long, i long, start double, end double, probability double")
-    assert rows(tracks.chosen_zooms(phrases, 9.0, 1.5, 0.6, 1.3), "i", "start", "end") == sorted(chosen)
-
     p, r = ({rng.randrange(4000) / 8 for _ in range(n)} for n in (300, 200))
     pairs = []
     for _, y, x in sorted((abs(x - y), y, x) for x in p for y in r if abs(x - y) <= 1.0):
@@ -236,13 +223,6 @@ def test_timing_agrees_with_a_loop(spark):
     assert rows(cards.apply_timing(df, 80, 150, 300, 450), "i", "start_ms", "end_ms") == [(i, start[i], end[i]) for i in range(80)]
 
 
-def test_plan_drops_the_weakest(spark):
-    said = spark.createDataFrame([(1, i, i * 2.0, i * 2.0 + 1.5, s, True) for i, s in enumerate((0.5, 0.1, 0.9, 0.2))], "media_id long, i long, start double, end double, score double, ends boolean")
-    none = spark.createDataFrame([], "media_id long, first long, probability double")
-    got = rows(tracks.edit_plan(said, none, 4.0), "start", "end")
-    assert sum(e - s for s, e in got) <= 4.2 and any(s <= 4.0 <= e for s, e in got)
-
-
 def test_names_and_rules(spark):
     from pyspark.sql import functions as F
 
