@@ -19,8 +19,9 @@ some 500 shingles a document over 262,144 buckets, a share well below `RARE` at
    similarity of `THRESHOLD` or more is a link. A block gives no pairs but a star for each of
    its connected groups, so rows never outnumber the block's nodes.
 3. Links' connected components are found by alternating large and small stars.
-4. Buckets of several blocks whose nodes are still in several components: each block of nodes
-   outside the bucket's largest component meets each block of the bucket, by the same comparison.
+4. Texts of buckets of several blocks, if they are in several components, are joined exactly over what is rare among them
+   (`similarity_join`), as a template may bring any number of texts into a bucket without a link: they are
+   never compared all with all.
 
 So every two texts that share a band are compared or already connected, whatever the size of
 their bucket; two texts at 0.8 in a measure share one of its 16 bands with a chance of 0.99999.
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, require, table, written
 from .decontamination import WORD_BYTES
+from .similarity_join import refined_blocks
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 3
@@ -271,6 +273,10 @@ def features(words: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where(first, each, mixed(each + level.astype(np.uint64) * _BASE)), share * idf.weights[bucket(each)], first
 
 
+def text_features(text: bytes, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return features(word_hashes(text), idf)
+
+
 def shared_sums(who: np.ndarray, starts: np.ndarray, counts: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """n x n sums of the weights that two have in common, above the diagonal.
 
@@ -443,7 +449,9 @@ def _classified(df: DataFrame, text_col: str, id_col: str, threshold: float) ->
     stars = components(linked(members.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"), "node")))
     if several:
         found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        stars = components(stars.union(linked(_crossed(wide.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))))))
+        nodes = wide.select("node").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        blocks = refined_blocks(written(nodes, "wide-nodes"), texts, text_features, shared, threshold, MEMBERS, BLOCK_BYTES)
+        stars = components(stars.union(linked(blocks)))
     found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     placed = written(signed.select("id", "raw", "node").join(found, "node", "left").select("id", "raw", F.coalesce("component", "node").alias("class")), "placed")
     classes = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
@@ -452,22 +460,6 @@ def _classified(df: DataFrame, text_col: str, id_col: str, threshold: float) ->
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("raw").alias("__raw"))
 
 
-def _crossed(members: DataFrame) -> DataFrame:
-    """(key, node, bytes, component) of buckets dealt into blocks to (block, node): in buckets of several components
-    each part of the nodes outside the largest one with each part of the whole bucket."""
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
-    totals = [F.max(F.struct("n", "component", "size")).alias("main"), F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("size").alias("size")]
-    open_ = sizes.groupBy("key").agg(*totals).filter("components > 1")
-    half = lambda n, size: F.greatest(F.ceil(n * 2 / MEMBERS), F.ceil(size * 2 / BLOCK_BYTES))
-    outer = half(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
-    plan = open_.select("key", F.col("main.component").alias("main"), outer.alias("outer"), half(F.col("n"), F.col("size")).alias("inner"))
-    dealt = members.join(_kept(plan, "open-buckets"), "key")
-    rest, hashed = dealt.filter("component <> main"), F.xxhash64("node")
-    outside = rest.select("key", "node", F.pmod(hashed, "outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j"))
-    inside = dealt.select("key", "node", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.pmod(hashed, "inner").alias("j"))
-    return outside.unionByName(inside).select(F.xxhash64("key", "i", "j").alias("block"), "node").distinct()
-
-
 def keep_one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `df` that are kept; columns stay as they are. Of rows that repeat an id, those go whose own text is a copy."""
     gone = _classified(df, text_col, id_col, THRESHOLD).filter("NOT kept").select(F.col(id_col).alias("__id"), "__raw").distinct()
