@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, require, table
+from .common import give_back, require, table, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -222,13 +222,20 @@ class Matcher:
         return hits, spans, items
 
 
-def _blocks(pairs: DataFrame, max_pairs: int) -> list:
-    """The (window, item) pairs in broadcast blocks of about `max_pairs` at most."""
-    blocks, out = max(1, -(-pairs.count() // max_pairs)), []
+def _passes(pairs: DataFrame, max_pairs: int) -> Iterator[tuple]:
+    """The (window, item) pairs in broadcast blocks of about `max_pairs` at most, one at a time, and whether it's the last.
+
+    The broadcast before is destroyed when the next one is asked for, so what uses it must have been written by then.
+    """
+    blocks = max(1, -(-pairs.count() // max_pairs))
+    pairs = written(pairs, "benchmark-windows") if blocks > 1 else pairs
     for b in range(blocks):
         block = pairs.filter(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == b).collect()
-        out.append(pairs.sparkSession.sparkContext.broadcast(sorted((r.window, r.item) for r in block)))
-    return out
+        shared = pairs.sparkSession.sparkContext.broadcast(sorted((r.window, r.item) for r in block))
+        del block
+        yield shared, b + 1 == blocks
+        if b + 1 < blocks:
+            shared.destroy()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text_col: str, matcher: Matcher, shard_words: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
@@ -313,9 +320,9 @@ def find_contamination(
     schema = FOUND.format(id=df.schema[id_col].dataType.simpleString())
     none = [F.lit(None).cast(t).alias(n) for n, t in (("spans", "array<struct<first: long, end: long>>"), ("items", "array<string>"))]
     found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *none)
-    blocks = _blocks(windows(benchmark, item_col, item_text_col, window), max_pairs)
-    for k, block in enumerate(blocks, 1):
-        found = found.select("id", "text", "spans", "items").mapInArrow(_searcher(block, shard_words, k == len(blocks)), schema)
+    for block, last in _passes(windows(benchmark, item_col, item_text_col, window), max_pairs):
+        found = found.select("id", "text", "spans", "items").mapInArrow(_searcher(block, shard_words, last), schema)
+        found = found if last else written(found, "searched")
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
     return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "spans", "items")
 
@@ -346,11 +353,14 @@ def remove_contaminated(
     """The rows of `df` without a benchmark window in their text; columns stay as they are.
 
     Rows pass through the search in their own task, so texts aren't shuffled; a task holds one
-    shard's rows. Null and empty texts stay. An empty benchmark leaves all rows.
+    shard's rows. Null and empty texts stay; rows that repeat an id are judged each by its text. An empty
+    benchmark leaves all rows, an empty table gives an empty result. A benchmark of several blocks is
+    searched block by block, and what a block leaves is written before the next one is sent out.
     """
     require(df, text_col)
-    for block in _blocks(windows(benchmark, item_col, item_text_col, window), max_pairs):
+    for block, last in _passes(windows(benchmark, item_col, item_text_col, window), max_pairs):
         df = df.mapInArrow(_sieve(block, shard_words, text_col), df.schema)
+        df = df if last else written(df, "sieved")
     return df
 
 

@@ -1,8 +1,9 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled 1; everything else the training fold holds counts as
-unlabelled web text. A text becomes `FEATURES` numbers. On a bounded sample of both kinds (at
-most about `MAX_POSITIVE` and `MAX_UNLABELLED` rows, drawn by a hash of the id) the driver
+unlabelled web text. A text becomes the numbers named in `FEATURES`, which tell its shape, and
+`LEXICAL` sums of its words, each hashed to one of them and a sign. On a bounded sample of both kinds (at
+most about `MAX_POSITIVE` and `MAX_UNLABELLED` rows, drawn by a hash of id and text) the driver
 
 1. fits a scorer of positives against unlabelled and estimates the class prior as the lowest
    ratio of unlabelled to positive mass above a threshold, on rows not fitted to;
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 from collections import Counter
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, require, seeded, seeded_number, table
+from .common import fold, require, seeded, seeded_number, table, written
 
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 30, 1000, 0.01, 7
@@ -36,10 +38,23 @@ FEATURES = (
 ).split()
 
 
+#: Sums that hashed words are added to.
+LEXICAL = 64
+
+
+def lexical(counts: Counter) -> list[float]:
+    """Each lower-cased word adds or takes the square root of its share of the words, in the column its hash names."""
+    out, root = [0.0] * LEXICAL, max(1, sum(counts.values())) ** 0.5
+    for word, k in counts.items():
+        place = crc32(word.encode("utf-8", "replace"))
+        out[place % LEXICAL] += (k**0.5 if place >> 31 else -(k**0.5)) / root
+    return out
+
+
 def features(text: str | None) -> list[float]:
     """The numbers of one whole text, all 0 for an empty one."""
     if not text:
-        return [0.0] * len(FEATURES)
+        return [0.0] * (len(FEATURES) + LEXICAL)
     n, chars = len(text), Counter(text)
     total = lambda signs: sum(chars[c] for c in signs) / n
     letters = sum(k for c, k in chars.items() if c.isalpha())
@@ -63,6 +78,7 @@ def features(text: str | None) -> list[float]:
         sum(map(eq, words, words[1:])) / w, sum(k for c, k in first.items() if c.isupper()) / w,
         sum(k for x, k in seen.items() if x.isupper()) / w, sum(k for c, k in last.items() if not c.isalnum()) / w,
         float(np.log1p(n / m)), len(set(lines)) / m, sum(x[-1] in ".!?…" for x in lines) / m, sum(len(x) < 20 for x in lines) / m,
+        *lexical(Counter(text.lower().split())),
     ]
 
 
@@ -131,6 +147,16 @@ def class_prior(p: np.ndarray, u: np.ndarray, rng: np.random.Generator) -> float
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.02, 0.98))
 
 
+def risk_slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> np.ndarray:
+    """Derivatives of the non-negative risk by the outputs of positives, then of unlabelled rows; l(g) is sigmoid(-g)."""
+    sp, su = sigmoid(gp), sigmoid(gu)
+    dp, du = sp * (1 - sp), su * (1 - su)
+    rest = su.mean() - prior * sp.mean()  # of l(-g) = sigmoid(g)
+    if rest < 0:  # go back: raise the risk of the negative part
+        return np.concatenate((prior * dp / len(gp), -du / len(gu)))
+    return np.concatenate((-2 * prior * dp / len(gp), du / len(gu)))
+
+
 def fit(p: np.ndarray, u: np.ndarray, prior: float | None = None, seed: int = SEED) -> tuple[Net, float]:
     """The net of least non-negative risk, and the prior used."""
     rng = np.random.default_rng(seed)
@@ -138,36 +164,39 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None = None, seed: int = SE
     if prior is None:
         prior = class_prior(p, u, rng)
 
-    def slopes(gp: np.ndarray, gu: np.ndarray) -> np.ndarray:
-        sp, su = sigmoid(gp), sigmoid(gu)
-        dp, du = sp * (1 - sp), su * (1 - su)
-        rest = su.mean() - prior * sp.mean()  # of l(-g) = sigmoid(g)
-        if rest < 0:  # go back: raise the risk of the negative part
-            return np.concatenate((prior * dp / len(gp), -du / len(gu)))
-        return np.concatenate((-2 * prior * dp / len(gp), du / len(gu)))
-
+    slopes = lambda gp, gu: risk_slopes(gp, gu, prior)
     return descend(Net.new(np.concatenate((p, u)), rng), p, u, slopes, rng), prior
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Net | None, float]:
     """A net from positives of `labels` and the texts of `docs`; none if there are no positives.
 
-    An id with several labels is a positive if all of them are 1.
+    An id with several labels is a positive if all of them are 1. Rows are drawn by a hash of id and text, alike in every
+    run, and rows that repeat both count once; so no id, however often it occurs, brings more than its texts.
+    About `MAX_POSITIVE` and `MAX_UNLABELLED` rows are drawn, never more than twice as many.
     """
     require(labels, id_col, label_col)
-    draw = lambda rate: seeded_number(seeded(id_col, SEED)) % 1_000_003 < rate * 1_000_003
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.coalesce(F.col(label_col), F.lit(0))).alias("__y")).filter("__y = 1")
-    n_good, n_docs = good.count(), docs.count()
-    if not n_good or not n_docs:
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("__text")
+    row = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text).cast("binary"))
+    rows = docs.select(F.col(id_col).alias("__id"), row.alias("__row"), text)
+    keys = written(rows.drop("__text"), "quality-rows")
+    trusted = keys.join(good.select(F.col(id_col).alias("__id")), "__id").select("__row")
+
+    def drawn(some: DataFrame, most: int, seed: int) -> list[str]:
+        n = some.count()
+        place = seeded_number(seeded("__row", seed)) % 1_000_003
+        rate = min(1.0, most / max(n, 1)) * 1_000_003
+        return [r["__row"] for r in some.filter(place < rate).distinct().orderBy(place, "__row").limit(2 * most).collect()]
+
+    web, positives = set(drawn(keys.select("__row"), MAX_UNLABELLED, SEED + 1)), set(drawn(trusted, MAX_POSITIVE, SEED))
+    if not web or not positives:
         return None, 0.0
-    chosen = good.filter(draw(min(1.0, MAX_POSITIVE / n_good))).select(id_col, F.lit(True).alias("__good")).limit(2 * MAX_POSITIVE)
-    marked = docs.select(id_col, F.col(text_col).alias("__text"), (seeded_number(seeded(id_col, SEED + 1)) % 1_000_003 < min(1.0, MAX_UNLABELLED / n_docs) * 1_000_003).alias("__web"))
-    sample = marked.join(F.broadcast(chosen), id_col, "left").filter("__good OR __web")  # at most 2 MAX_POSITIVE ids
+    wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"__row": sorted(web | positives)}), "__row string")
+    sample = rows.select("__row", "__text").join(F.broadcast(wanted), "__row", "left_semi").dropDuplicates(["__row"])
     numbers = F.pandas_udf(lambda texts: pd.Series([features(t) for t in texts]), "array<double>")
-    rows = sample.select(F.col(id_col).alias("id"), F.coalesce("__good", F.lit(False)).alias("good"), "__web", numbers("__text").alias("x")).collect()
-    rows.sort(key=lambda r: (r.id is None, r.id or 0, r.x))
-    p = np.array([r.x for r in rows if r.good], np.float64)
-    u = np.array([r.x for r in rows if r["__web"]], np.float64)
+    found = sorted((r["__row"], r.x) for r in sample.select("__row", numbers("__text").alias("x")).collect())
+    p, u = (np.array([x for key, x in found if key in some], np.float64) for some in (positives, web))
     if len(p) < 2 or len(u) < 2:
         return None, 0.0
     return fit(p, u)
