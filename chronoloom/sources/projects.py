@@ -98,6 +98,55 @@ def project_objects(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, "path string, id string, uid string, tag string, xml string, error string")
 
 
+#: A node of a project: its object (child of the root, from 0), its number in order of the document, the tags from the object down to it.
+NODE = "path string, object long, node long, tag string, xpath string, id string, uid string, ref string, uref string, hash string, text string, error string"
+#: Nodes given out at once.
+NODES_AT_ONCE = 20_000
+
+
+def _nodes(content: bytes) -> Iterator[tuple]:
+    """(object, node, tag, xpath, id, uid, ref, uref, hash, text) of each element below the root; an object is forgotten when it ends."""
+    stream = io.BytesIO(content)
+    open_: list[tuple[int, str]] = []
+    object_, number, root = -1, 0, None
+    for event, e in ET.iterparse(gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream, ("start", "end")):
+        if event == "start":
+            root = e if root is None else root
+            if len(open_) == 1:
+                object_ += 1
+            open_.append((number, "/".join([*filter(None, [open_[-1][1]]), e.tag]) if len(open_) > 1 else ""))
+            number += 1
+            continue
+        node, xpath = open_.pop()
+        if open_:
+            yield object_, node, e.tag, xpath, *(e.get(k) for k in ("ObjectID", "ObjectUID", "ObjectRef", "ObjectURef", "BinaryHash")), e.text
+        if len(open_) == 1:
+            root.clear()
+
+
+def project_nodes(files: DataFrame) -> DataFrame:
+    """(path, content: project, gzip or plain XML) to its nodes (`NODE`), in pieces as they are read; a file that can't be read to its
+    end has a row with an error besides, and what came before it doesn't count."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in NODE.split(", ")]
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows: list[tuple] = []
+                try:
+                    for row in _nodes(content):
+                        rows.append((path, *row, None))
+                        if len(rows) == NODES_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                except (OSError, EOFError, zlib.error, ET.ParseError) as problem:
+                    rows = [(path, *[None] * 10, f"{type(problem).__name__}: {problem}")]
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
+
+    return files.filter("content IS NOT NULL").select("path", "content").mapInPandas(parse, NODE)
+
+
 def seconds_of(ticks: Column) -> Column:
     return F.coalesce(ticks.cast("decimal(38,0)"), F.lit(0)).cast("double") / TICKS_PER_SECOND
 
