@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.operators import libraries as L
@@ -193,21 +194,58 @@ def latest_task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.latest_state(task_events(V.table(spark, sf_dir, "events")), "task", ["event_id"], ["status", "event_id"], ["percent", "k"])
 
 
+def runner_events(events: DataFrame) -> DataFrame:
+    """Events as what the runner of a user's job says; the last one is its exit."""
+    n, last = F.col("event_id"), F.col("event_id") == F.max("event_id").over(W.partitionBy("user_id"))
+    kinds = F.array(*[F.lit(x) for x in ("status", "status", "status", "translation-done", "translation-error", "log", "done", "error", "log", "cancel")])
+    kind = F.when(last, "exit").when((n % 10 == 9) & (n % 90 != 9), "log").otherwise(F.get(kinds, (n % 10).cast("int")))
+    text = lambda name, when: F.when(when, F.concat(F.lit(name), n))
+    return events.select(
+        F.col("user_id").alias("task"), n, kind.alias("event"), F.col("event_type").alias("status"), text("stage ", n % 2 == 0).alias("stage"), text("said ", (n % 3 > 0) & ~last).alias("message"),
+        F.when(n % 4 > 0, F.least(F.floor("value"), F.lit(100)).cast("double")).alias("progress"), text("/out/", n % 5 < 4).alias("output_path"), F.when(n % 7 == 0, "pt").alias("language"),
+        F.when(n % 3 == 1, n % 50).alias("processed"), F.when(n % 11 == 1, 50).cast("bigint").alias("total"), F.get(F.array(F.lit("zh"), F.lit("en"), F.lit("es")), (n % 3).cast("int")).alias("lang"),
+        text("wrong ", n % 4 == 1).alias("error"), F.when(last, F.col("user_id") % 3).alias("code"),
+    )
+
+
 @query("""WITH e AS (
-  SELECT user_id AS task, event_id, event_type AS status, CASE WHEN event_type = 'view' THEN least(floor(value), 100)::BIGINT END AS percent FROM events
+  SELECT user_id AS task, event_id AS n, event_id = max(event_id) OVER (PARTITION BY user_id) AS last, event_type, value FROM events
+), k AS (
+  SELECT *, CASE WHEN last THEN 'exit' WHEN n % 10 < 3 THEN 'status' WHEN n % 10 = 3 THEN 'translation-done' WHEN n % 10 = 4 THEN 'translation-error' WHEN n % 10 = 6 THEN 'done' WHEN n % 10 = 7 THEN 'error' WHEN n % 90 = 9 THEN 'cancel' ELSE 'log' END AS kind,
+         CASE WHEN n % 2 = 0 THEN 'stage ' || n END AS stage, CASE WHEN n % 3 > 0 AND NOT last THEN 'said ' || n END AS message, CASE WHEN n % 4 > 0 THEN least(floor(value), 100) END AS progress,
+         CASE WHEN n % 5 < 4 THEN '/out/' || n END AS output, CASE WHEN n % 3 = 1 THEN n % 50 END AS processed, ['zh', 'en', 'es'][n % 3 + 1] AS lang, CASE WHEN n % 4 = 1 THEN 'wrong ' || n END AS error FROM e
+), t AS (
+  SELECT task, kind, string_agg(lang || '=' || v, ';' ORDER BY lang) AS v FROM (
+    SELECT task, kind, lang, arg_max(CASE WHEN kind = 'translation-done' THEN coalesce(output, '') ELSE coalesce(error, message, '-') END, n) AS v FROM k WHERE kind LIKE 'translation%' GROUP BY task, kind, lang) GROUP BY task, kind
+), s AS (
+  SELECT task, count(*) AS events, max(n) AS last_event, arg_max(message, n) AS message, arg_max(stage, n) FILTER (kind = 'status' OR (kind LIKE 'translation%' AND stage IS NOT NULL)) AS last_stage,
+         max(n) FILTER (kind = 'status') AS last_status, max(n) FILTER (kind LIKE 'translation%' AND stage IS NOT NULL) AS last_translation, arg_max(progress, n) FILTER (kind = 'status') AS progress,
+         arg_max(output, n) FILTER (kind NOT LIKE 'translation%') AS output_path, arg_max(processed, n) FILTER (kind NOT LIKE 'translation%') AS processed,
+         max(struct_pack(n := n, kind := kind, error := coalesce(error, message))) FILTER (kind IN ('done', 'error')) AS ending, coalesce(bool_or(kind = 'cancel'), false) AS cancelled FROM k GROUP BY task
+), f AS (
+  SELECT s.*, k.stage AS status_stage, s.task % 3 AS code, CASE WHEN last_translation > last_status OR last_status IS NULL THEN last_translation END AS tr FROM s LEFT JOIN k ON k.task = s.task AND k.n = s.last_status
 )
-SELECT task, count(*) AS events, arg_max(status, event_id) AS status, coalesce(max(percent), 0) AS percent, max(event_id) AS last_event FROM e GROUP BY task""")
+SELECT f.task, events, last_event, CASE WHEN cancelled THEN 'cancelled' WHEN ending.kind = 'done' OR (ending IS NULL AND code = 0) THEN 'completed' ELSE 'error' END AS status,
+       CASE WHEN tr IS NOT NULL THEN 'stage ' || tr ELSE status_stage END AS stage,
+       CASE WHEN cancelled THEN 'Processo cancelado pelo usuario.' WHEN ending.kind = 'done' OR (ending IS NULL AND code = 0) THEN coalesce(message, 'Transcricao concluida.') ELSE message END AS message, progress, output_path, processed,
+       coalesce(d.v, '') AS translated, coalesce(x.v, '') AS failed, ending.kind AS ended,
+       CASE WHEN ending.kind = 'error' THEN ending.error WHEN NOT cancelled AND ending IS NULL AND code > 0 THEN 'exit code ' || code END AS error, cancelled
+FROM f LEFT JOIN t d ON d.task = f.task AND d.kind = 'translation-done' LEFT JOIN t x ON x.task = f.task AND x.kind = 'translation-error'""")
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same events as a stream that ends, folded in keyed state."""
+    """What runners say as a stream that ends, folded in keyed state to a written table."""
     import uuid
 
-    from chronoloom.streaming.tasks import run_once
+    from chronoloom.streaming.tasks import fold_to_table, latest_states, pairs
 
-    name = f"tasks_{uuid.uuid4().hex}"
-    base = V.shared_folder(spark)
-    schema = V.table(spark, sf_dir, "events").schema
-    # a file source takes folders; the table's own folder is filtered down to its name
-    return run_once(spark, f"{sf_dir}/events.parquet*", schema, lambda df: task_events(df).drop("k"), f"{base}/{name}", name)
+    base = f"{V.shared_folder(spark)}/tasks_{uuid.uuid4().hex}"
+    said = runner_events(V.table(spark, sf_dir, "events"))
+    said.write.parquet(f"{base}/events")
+    fold_to_table(spark.readStream.schema(said.schema).parquet(f"{base}/events"), f"{base}/states", f"{base}/checkpoint")
+    states = latest_states(spark, f"{base}/states")
+    return states.select(
+        "task", "events", "last_event", "status", "stage", "message", "progress", "output_path", "processed", pairs(F.col("translated")).alias("translated"),
+        pairs(F.transform_values("failed", lambda _, v: F.coalesce(v, F.lit("-")))).alias("failed"), "ended", "error", "cancelled",
+    )
 
 
 @query("""WITH o AS (
