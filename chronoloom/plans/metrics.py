@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.operators import align, cards, models, stats, tracks
+from chronoloom.operators import align, cards, stats, tracks
 from chronoloom.operators import sessions as S
 from chronoloom.plans.editing import phrase_cards
 from chronoloom.plans.speech import PHRASES, candidates_of
@@ -233,16 +233,6 @@ def timed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.apply_timing(rows, 80, 150, 300, 450)
 
 
-@query()
-def tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks between words predicted by a tree from gap features, learnt on three of four recordings; F1 by part."""
-    gaps = S.gap_features(V.words(spark, sf_dir)).join(V.words(spark, sf_dir).select("media_id", "i", "segment_end"), ["media_id", "i"])
-    x = F.array(*[F.col(c).cast("double") for c in ("pause_ms", "weak", "mark", "opens_next", "words_per_minute")])
-    rows = gaps.select("media_id", x.alias("x"), (F.col("pause_ms") > 350).cast("double").alias("y"), F.when(F.col("media_id") % 4 == 3, "test").otherwise("train").alias("part"))
-    scored = models.probabilities(models.train_classifier(rows.filter("part = 'train'"), 5, 20), rows)
-    return scored.groupBy("part").agg(stats.f1(F.col("probability") >= 0.5, F.col("y") == 1).alias("f1"), F.count("*").alias("rows"))
-
-
 @query("SELECT * FROM (SELECT media_id, floor(3600000 * (n::DOUBLE / sum(n) OVER ()))::BIGINT AS target_ms FROM (SELECT conv_id AS media_id, sum(length(text))::BIGINT AS n FROM conversations GROUP BY conv_id))")
 def target_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An hour shared by the recordings' lengths."""
