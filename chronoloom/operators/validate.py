@@ -90,17 +90,3 @@ def candidate_names(words: DataFrame, least: int = 2, stop: tuple[str, ...] = ()
     bare = F.regexp_replace("word", r"[^\p{L}\p{N}_]", "")
     named = words.withColumn("name", bare).filter(F.col("name").rlike(r"^\p{Lu}") & (F.length("name") > 1) & (F.col("name") != F.upper("name")) & ~F.col("name").isin(*stop or ("",)))
     return named.groupBy("name").agg(F.count("*").alias("times"), F.max("pos").alias("latest")).filter((F.col("times") >= least) & (F.col("latest") > 0)).drop("latest")
-
-
-def line_parts(text: Column, width: int) -> Column:
-    """A line packed into the fewest parts of at most `width`, cut after marks; null if a piece is too long."""
-    chunks = F.regexp_extract_all(text, F.lit("([^，。？！；]+[，。？！；]*)"), F.lit(1))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
-
-    def add(s: Column, c: Column) -> Column:
-        return F.when(F.length(s["line"]) + F.length(c) <= width, F.struct(s["done"].alias("done"), F.concat(s["line"], c).alias("line"))).otherwise(
-            F.struct(F.concat(s["done"], F.array(s["line"])).alias("done"), c.alias("line"))
-        )
-
-    packed = F.aggregate(chunks, start, add, lambda s: F.filter(F.concat(s["done"], F.array(s["line"])), lambda x: x != ""))
-    return F.when(~F.exists(chunks, lambda c: F.length(c) > width), packed)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators import glossary_rules as G
 from chronoloom.operators import jobs_rules as J
+from chronoloom.operators import lines as X
+from chronoloom.operators import sessions as S
+from chronoloom.plans.speech import PHRASES
 from chronoloom.sources import views as V
 from chronoloom.sources.views import WORDS_SQL
 
@@ -214,3 +217,50 @@ def timing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(said, F.col("start_ms")).alias("speech_start"), F.when(said, F.col("end_ms")).alias("speech_end"), "text",
     )
     return J.timing_samples(cards)
+
+
+def spoken_line(n: Column) -> Column:
+    """A line for a sentence by its number: pieces of differing lengths behind a connective, with marks."""
+    piece = lambda k: F.concat(F.repeat(F.substring(F.lit(SIGNS), (n + k) % 20 + 1, F.lit(1)), ((n * 7 + k * 5) % 13 + 1).cast("int")), F.substring(F.lit(X.CUT_MARKS), ((n + k) % 5 + 1).cast("int"), F.lit(1)))
+    return F.concat(F.when(n % 3 == 0, "然后，").otherwise(""), F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n % 5), piece), ""))
+
+
+@query(f"""WITH RECURSIVE {WORDS_SQL}, {PHRASES}, se AS (
+  SELECT media_id, (phrase // 4)::BIGINT AS n, list({{'card': phrase::BIGINT, 's': start_ms, 'e': end_ms}} ORDER BY phrase) AS cards FROM phrases GROUP BY media_id, phrase // 4
+), ln AS (
+  SELECT *, CASE WHEN n % 3 = 0 THEN '然后，' ELSE '' END || array_to_string(list_transform(range(0, n % 5 + 1), lambda k: repeat(substr('{SIGNS}', (n + k) % 20 + 1, 1), (n * 7 + k * 5) % 13 + 1) || substr('，。？！；', (n + k) % 5 + 1, 1)), '') AS line FROM se
+), tx AS (
+  SELECT media_id, n, cards, CASE WHEN n % 2 = 0 AND n % 3 = 0 THEN substr(line, 4) ELSE line END AS line, CASE WHEN n % 3 = 0 THEN '然后' END AS opened FROM ln
+), ch AS (
+  SELECT *, regexp_extract_all(line, '[^，。？！；]*[，。？！；]|[^，。？！；]+') AS chunks FROM tx
+), pk AS (
+  SELECT media_id, n, 0 AS k, ''::VARCHAR AS cur, []::VARCHAR[] AS done, chunks FROM ch
+  UNION ALL
+  SELECT media_id, n, k + 1, CASE WHEN fits THEN cur || c ELSE c END, CASE WHEN fits OR cur = '' THEN done ELSE list_append(done, trim(cur, '，。；')) END, chunks
+  FROM (SELECT *, chunks[k + 1] AS c, length(trim(cur || chunks[k + 1], '，。；')) <= 20 AS fits FROM pk WHERE k < len(chunks))
+), pt AS (
+  SELECT media_id, n, CASE WHEN trim(cur, '，。；') <> '' THEN list_append(done, trim(cur, '，。；')) ELSE done END AS lines FROM pk WHERE k = len(chunks) AND len(list_filter(chunks, lambda c: length(trim(c, '，。；')) > 20)) = 0
+), ct AS (
+  SELECT media_id, n, 0 AS k, 0::BIGINT AS said, 0::BIGINT AS cut, []::BIGINT[] AS cuts FROM pt
+  UNION ALL
+  SELECT media_id, n, k + 1, said2, best, list_append(cuts, best)
+  FROM (SELECT c.*, said + length(lines[k + 1]) AS said2,
+               list_min(list_transform(range(cut + 1, len(cards) - (len(lines) - k - 1) + 1), lambda j: {{'a': abs((cards[j + 1].s - cards[1].s) * list_sum(list_transform(lines, lambda x: length(x))) - (cards[len(cards)].e - cards[1].s) * (said + length(lines[k + 1]))), 'j': j}})).j AS best
+        FROM ct c JOIN pt USING (media_id, n) JOIN ch USING (media_id, n) WHERE k < len(lines) - 1 AND len(cards) >= len(lines))
+), fin AS (
+  SELECT media_id, n, lines, cards, list_concat(list_concat([0], cuts), [len(cards)]) AS edges FROM ct JOIN pt USING (media_id, n) JOIN ch USING (media_id, n) WHERE k = len(lines) - 1
+), ps AS (
+  SELECT media_id, n, len(lines) AS size, unnest(list_transform(range(1, len(lines) + 1), lambda p: {{'p': p - 1, 'line': lines[p], 'a': cards[edges[p] + 1], 'b': cards[edges[p + 1]]}})) AS q FROM fin
+), ok AS (
+  SELECT *, min(q.b.e - q.a.s) OVER (PARTITION BY media_id, n) >= 1200 OR size = 1 AS fine FROM ps
+)
+SELECT tx.media_id, tx.n AS sentence, opened, q.p::INTEGER AS part, q.line AS line, q.a.card AS first, q.b.card AS last, q.a.s AS start_ms, q.b.e AS end_ms FROM tx LEFT JOIN ok ON ok.media_id = tx.media_id AND ok.n = tx.n AND fine""")
+def fitted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines for every four phrases: the connective goes from every second one that has it, the rest is fitted to the phrases."""
+    phrases = S.phrases(V.words_once(spark, sf_dir)).withColumn("sentence", F.expr("phrase DIV 4"))
+    cards = F.array_sort(F.collect_list(F.struct(F.col("phrase").alias("card"), "start_ms", "end_ms")))
+    rows = phrases.groupBy("media_id", "sentence").agg(cards.alias("cards")).withColumn("line", spoken_line(F.col("sentence")))
+    opened = rows.withColumn("opened", X.opening_connective(F.col("line")))
+    shorter = opened.withColumn("line", F.when((F.col("sentence") % 2 == 0) & F.col("opened").isNotNull(), X.without_connective(F.col("line"))).otherwise(F.col("line")))
+    parts = X.fitted_lines(shorter, 20, 1200).select("media_id", "sentence", "opened", F.posexplode_outer("parts").alias("part", "p"))
+    return parts.select("media_id", "sentence", "opened", "part", "p.*")
