@@ -38,17 +38,30 @@ FEATURES = (
 ).split()
 
 
-#: Sums that hashed words are added to.
-LEXICAL = 64
+#: Sums that hashed words are added to, and words whose place a worker keeps.
+LEXICAL, KEPT_WORDS = 64, 1 << 17
+_places: dict[str, tuple[int, int]] = {}
+
+
+def place(word: str) -> tuple[int, int]:
+    """A column and a sign by the hash of the lower-cased word."""
+    found = _places.get(word)
+    if found is None:
+        if len(_places) >= KEPT_WORDS:
+            _places.clear()
+        hashed = crc32(word.lower().encode("utf-8", "replace"))
+        found = _places[word] = (hashed % LEXICAL, 1 if hashed >> 31 else -1)
+    return found
 
 
 def lexical(counts: Counter) -> list[float]:
-    """Each lower-cased word adds or takes the square root of its share of the words, in the column its hash names."""
-    out, root = [0.0] * LEXICAL, max(1, sum(counts.values())) ** 0.5
+    """Each word adds or takes 1 in the column its hash names, over the square root of the number of words."""
+    out = [0] * LEXICAL
     for word, k in counts.items():
-        place = crc32(word.encode("utf-8", "replace"))
-        out[place % LEXICAL] += (k**0.5 if place >> 31 else -(k**0.5)) / root
-    return out
+        column, sign = place(word)
+        out[column] += sign * k
+    root = max(1, sum(counts.values())) ** 0.5
+    return [x / root for x in out]
 
 
 def features(text: str | None) -> list[float]:
@@ -78,7 +91,7 @@ def features(text: str | None) -> list[float]:
         sum(map(eq, words, words[1:])) / w, sum(k for c, k in first.items() if c.isupper()) / w,
         sum(k for x, k in seen.items() if x.isupper()) / w, sum(k for c, k in last.items() if not c.isalnum()) / w,
         float(np.log1p(n / m)), len(set(lines)) / m, sum(x[-1] in ".!?…" for x in lines) / m, sum(len(x) < 20 for x in lines) / m,
-        *lexical(Counter(text.lower().split())),
+        *lexical(seen),
     ]
 
 
