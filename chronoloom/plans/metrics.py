@@ -239,3 +239,29 @@ def target_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = V.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("media_id")).agg(F.sum(F.length("text")).alias("n"))
     total = sizes.agg(F.sum("n").alias("all"))
     return sizes.crossJoin(F.broadcast(total)).select("media_id", F.floor(3600000 * (F.col("n") / F.col("all"))).cast("bigint").alias("target_ms"))  # one row
+
+
+@query(f"""WITH {WORDS_SQL}, {PHRASES}, sp AS (
+  SELECT media_id, max(end_ms) AS span_end FROM phrases GROUP BY media_id
+), w AS (
+  SELECT media_id, s AS win_start, least(s + 30000, span_end) AS win_end FROM (SELECT *, unnest(range(0, span_end, 27000)) AS s FROM sp) WHERE s = 0 OR s + 3000 < span_end
+), x AS (
+  SELECT w.media_id, w.win_start, phrase, text FROM w JOIN phrases p ON p.media_id = w.media_id AND p.start_ms >= w.win_start AND p.start_ms < w.win_end
+), h AS (
+  SELECT media_id, win_start, sha1(string_agg(text, chr(10) ORDER BY phrase)) AS hash FROM x GROUP BY ALL
+), n AS (
+  SELECT x.media_id, phrase, ('0x' || substr(md5('F' || first_value(phrase::BIGINT) OVER (PARTITION BY hash, place ORDER BY x.media_id, x.win_start)), 1, 2))::INT % 11 AS score, hash IN (SELECT hash FROM h WHERE media_id % 2 = 1) AS old
+  FROM (SELECT *, row_number() OVER (PARTITION BY media_id, win_start ORDER BY phrase) AS place FROM x) x JOIN h USING (media_id, win_start)
+)
+SELECT media_id, phrase::BIGINT AS phrase, avg(score) AS score, count(*) FILTER (NOT old) AS asked, 0::BIGINT AS unanswered FROM n GROUP BY media_id, phrase""")
+def interest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all phrases after those of every second recording were kept before."""
+    import uuid
+
+    from chronoloom.operators import interest
+    from chronoloom.sources.versions import VersionedTable
+
+    phrases = V.settled(S.phrases(V.words(spark, sf_dir)))
+    kept = VersionedTable(spark, f"{V.shared_folder(spark)}/scores_{uuid.uuid4().hex}", interest.KEPT)
+    interest.interest(phrases.filter("media_id % 2 = 1"), kept, "stub", size=30_000, overlap=3_000)
+    return interest.interest(phrases, kept, "stub", size=30_000, overlap=3_000)
