@@ -69,7 +69,7 @@ def folded(state: dict[str, Any], e: dict[str, Any]) -> dict[str, Any]:
         elif s["ended"] == "done" or s["ended"] is None and e["code"] == 0:
             s["status"], s["message"] = "completed", s["message"] or DONE
         else:
-            s["status"], s["error"] = "error", s["error"] if s["error"] is not None else f"exit code {e['code']}"
+            s["status"], s["error"] = "error", s["error"] if s["ended"] else f"exit code {e['code']}"
     return s
 
 

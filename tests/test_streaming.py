@@ -35,6 +35,7 @@ def plain(events):
          {"translated": '{"zh": "/y"}', "failed": '{"en": "no"}', "output_path": None, "message": "no"}),
         ([event(1, "done", message="fine"), event(2, "exit", code=1)], {"status": "completed", "message": "fine"}),
         ([event(1, "error", message="bad"), event(2, "exit", code=0)], {"status": "error", "error": "bad"}),
+        ([event(1, "error"), event(2, "exit", code=0)], {"status": "error", "error": None}),
         ([event(1, "exit", code=0)], {"status": "completed", "message": T.DONE}),
         ([event(1, "exit", code=9)], {"status": "error", "error": "exit code 9"}),
         ([event(1, "cancel"), event(2, "done", message="fine"), event(3, "exit", code=0)], {"status": "cancelled", "message": T.CANCELLED}),
