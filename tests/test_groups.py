@@ -29,3 +29,9 @@ def test_matched_points_make_no_frame_an_island(spark, small_batches):
     points = lambda shift: spark.createDataFrame([(m, 10.0 * k + shift) for m in (1, 2) for k in range(50)], "media_id long, t double")
     found = tracks.matched_points(points(0.0), points(0.25), 1.0)
     assert not by_frames(found) and sorted(map(tuple, found.collect())) == [(m, 10.0 * k, 10.0 * k + 0.25) for m in (1, 2) for k in range(50)]
+
+
+def test_merged_tracks_make_no_frame_an_island(spark, small_batches):
+    clips = [(1, t, 10.0 * k + d, 10.0 * k + d + 2) for k in range(40) for t, d in (("a", 0.0), ("b", 1.0))] + [(1, "a", 900.0, 901.0), (1, "b", None, 5.0)]
+    found = tracks.merge_tracks(spark.createDataFrame(clips, "media_id long, track string, start double, end double"))
+    assert not by_frames(found) and sorted(map(tuple, found.collect())) == [(1, "a", 10.0 * k, 10.0 * k + 2) for k in range(40)] + [(1, "a", 900.0, 901.0)]
