@@ -71,6 +71,18 @@ def asked(windows: DataFrame, model: str, ask: Ask = stub) -> DataFrame:
     return clocked.mapInPandas(run, KEPT)
 
 
+def first_of_content(windows: DataFrame) -> DataFrame:
+    """(hash, phrases) of the first window of each content, by media_id and begin."""
+    return windows.groupBy("hash").agg(F.min_by("phrases", F.struct("media_id", "win_start")).alias("phrases"))
+
+
+def keep_scores(contents: DataFrame, kept: VersionedTable, model: str, ask: Ask = stub) -> None:
+    """Asks about contents (hash, phrases) that this model hasn't scored before and commits the answers as a new version, if there are such."""
+    open_ = contents.join(kept.read().filter(F.col("model") == model).select("hash").distinct(), "hash", "left_anti")
+    if not open_.isEmpty():
+        kept.write(kept.read().unionByName(asked(open_, model, ask)))
+
+
 def interest(phrases: DataFrame, kept: VersionedTable, model: str, ask: Ask = stub, size: int = WINDOW_MS, overlap: int = OVERLAP_MS) -> DataFrame:
     """(media_id, phrase, score, asked, unanswered): the mean of a phrase's scores over the windows that saw it.
 
@@ -79,12 +91,8 @@ def interest(phrases: DataFrame, kept: VersionedTable, model: str, ask: Ask = st
     count as `NEUTRAL`, aren't kept and so are asked again next time.
     """
     windows = windows_of(phrases, size, overlap)
-    known = kept.read().filter(F.col("model") == model)
-    open_ = windows.join(known.select("hash").distinct(), "hash", "left_anti")
     before = kept.versions()
-    answers = asked(open_.groupBy("hash").agg(F.min_by("phrases", F.struct("media_id", "win_start")).alias("phrases")), model, ask)
-    if not open_.isEmpty():
-        kept.write(kept.read().unionByName(answers))
+    keep_scores(first_of_content(windows), kept, model, ask)
     scores = kept.read().filter(F.col("model") == model)
     old = kept.read(before[-1]).filter(F.col("model") == model).select("hash").distinct() if before else scores.select("hash").limit(0)
     seen = windows.join(old.withColumn("old", F.lit(True)), "hash", "left").select("media_id", "hash", "old", F.posexplode("phrases").alias("place", "p"))

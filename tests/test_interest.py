@@ -71,3 +71,19 @@ def test_a_broken_write_leaves_the_last_version(spark, kept):
     assert kept.write(kept.read().union(rows)) == 3 and kept.read().count() == 2 and kept.read(1).count() == 1
     with pytest.raises(ValueError):
         kept.read(2)
+
+
+def test_contents_of_two_recordings_are_asked_as_the_first_window_has_them(spark, duck, tmp_path):
+    """The second half of an even recording is all of an odd one that comes later, with other numbers of phrases."""
+    from chronoloom.plans.metrics import SQL, Q
+    from tests.conftest import spark_rows
+
+    texts = {n: " ".join(f"{n}{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}x." for k in range(30)) for n in ("q", "r", "s", "t", "u", "v")}
+    talk = [(2, k, "user", t) for k, t in enumerate(texts.values())]
+    words_ms = [120 + 40 * len(w) + 900 for t in texts.values() for w in t.split()]
+    skipped = next(n for n in range(1, len(words_ms)) if sum(words_ms[:n]) >= 27_000)  # the second window begins at this word
+    rest = [w for t in texts.values() for w in t.split()][skipped:]
+    lasts = next(n for n in range(1, len(rest)) if sum(words_ms[:skipped + n]) >= 57_000)
+    talk += [(5, 0, "user", " ".join(rest[:lasts]))]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert spark_rows(Q["interest_scores"](spark, str(tmp_path))) == duck(SQL["interest_scores"], str(tmp_path))
