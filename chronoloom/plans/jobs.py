@@ -150,7 +150,7 @@ SELECT u.export_id, u.name, CASE WHEN claims = 1 THEN b.file_id END AS file_id,
 FROM u LEFT JOIN b USING (export_id) LEFT JOIN c ON c.file_id = b.file_id""")
 def export_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c, n: F.concat(F.lit("clip"), F.col(c) % n).alias("name")
-    ms = lambda c, n: F.round(c * n).cast("bigint")
+    ms = lambda c, n: F.rint(c * n).cast("bigint")  # noqa: E731  halves to even
     exports = V.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("export_id"), name("o_custkey", 300), ms(F.col("o_totalprice"), 10).alias("range_ms"), ms(F.col("o_totalprice"), 11).alias("whole_ms"), F.col("o_orderdate").alias("modified")
     )

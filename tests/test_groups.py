@@ -35,3 +35,14 @@ def test_merged_tracks_make_no_frame_an_island(spark, small_batches):
     clips = [(1, t, 10.0 * k + d, 10.0 * k + d + 2) for k in range(40) for t, d in (("a", 0.0), ("b", 1.0))] + [(1, "a", 900.0, 901.0), (1, "b", None, 5.0)]
     found = tracks.merge_tracks(spark.createDataFrame(clips, "media_id long, track string, start double, end double"))
     assert not by_frames(found) and sorted(map(tuple, found.collect())) == [(1, "a", 10.0 * k, 10.0 * k + 2) for k in range(40)] + [(1, "a", 900.0, 901.0)]
+
+
+def test_lengths_of_exports_are_rounded_as_their_sql_does(spark, duck, tmp_path):
+    """12,344.5 ms are 12,344: 5,000 from the file, not 5,001."""
+    from chronoloom.plans.jobs import SQL, Q
+    from tests.conftest import spark_rows
+
+    spark.sql("SELECT 1L AS o_orderkey, 7L AS o_custkey, 1234.45D AS o_totalprice, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 7L AS c_custkey, 36.72D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    got = spark_rows(Q["export_pairs"](spark, str(tmp_path)))
+    assert got == duck(SQL["export_pairs"], str(tmp_path)) and got[1] == [(1, 7, "clip7", None)]
