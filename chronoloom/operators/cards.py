@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.text import WEAK_TRAILING_WORDS
 from chronoloom.operators.align import token
+from chronoloom.operators.groups import in_groups
 
 WEAK = frozenset(WEAK_TRAILING_WORDS)
 #: Words with which a sentence goes on (fixed values).
@@ -60,6 +61,11 @@ def cost(rule: Rule, count: int, limit: int, left: int, seconds: float, weak: bo
     return total + 6 * max(0, count - rule.most)
 
 
+@lru_cache(maxsize=100_000)
+def is_weak(word: str) -> bool:
+    return token(word) in WEAK
+
+
 def group_sizes(words: list[tuple[str, float, float]], rule: Rule = SHORT) -> list[int]:
     """Sizes of the cards of a segment's words (word, start, end)."""
     sizes, at = [], 0
@@ -70,7 +76,7 @@ def group_sizes(words: list[tuple[str, float, float]], rule: Rule = SHORT) -> li
         fast = min(rule.most_fast, left)
         if fast > limit and 0 < span(fast) <= rule.most_s:
             limit = fast
-        weak = lambda k: token(words[at + k - 1][0]) in WEAK  # noqa: B023, E731
+        weak = lambda k: is_weak(words[at + k - 1][0])  # noqa: B023, E731
         best = min(range(min(rule.least, limit), limit + 1), key=lambda k: (cost(rule, k, limit, left, span(k), weak(k)), k))  # noqa: B023
         while weak(best) and best < limit and best < left:
             best += 1
@@ -84,19 +90,16 @@ def group_sizes(words: list[tuple[str, float, float]], rule: Rule = SHORT) -> li
 def cards(words: DataFrame, rule: Rule = SHORT) -> DataFrame:
     """(media_id, segment_id, i, word, start_ms, end_ms) to cards; one group a recording's segment."""
 
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        rows = list(zip(frame["word"], frame["start_ms"] / 1000, frame["end_ms"] / 1000, strict=True))
+    def cut(rows: list[tuple]) -> list[tuple]:
         out, at = [], 0
-        for n, size in enumerate(group_sizes(rows, rule)):
-            part = frame.iloc[at : at + size]
-            out.append((part["media_id"].iloc[0], part["segment_id"].iloc[0], n, part["i"].iloc[0], part["i"].iloc[-1], part["start_ms"].min(), part["end_ms"].max(), " ".join(part["word"])))
+        for n, size in enumerate(group_sizes([(word, start / 1000, end / 1000) for _, _, _, word, start, end in rows], rule)):
+            part = rows[at : at + size]
+            out.append((*part[0][:2], n, part[0][2], part[-1][2], min(r[4] for r in part), max(r[5] for r in part), " ".join(r[3] for r in part)))
             at += size
-        return pd.DataFrame(out, columns=["media_id", "segment_id", "card", "first", "last", "start_ms", "end_ms", "text"])
+        return out
 
-    return words.groupBy("media_id", "segment_id").applyInPandas(
-        cut, "media_id long, segment_id long, card long, first long, last long, start_ms long, end_ms long, text string"
-    )
+    schema = "media_id long, segment_id long, card long, first long, last long, start_ms long, end_ms long, text string"
+    return in_groups(words.select("media_id", "segment_id", "i", "word", "start_ms", "end_ms"), ["media_id", "segment_id"], ["i"], cut, schema)
 
 
 def sentence_buckets(rows: list[tuple[str, float, float]], soft: int = 5, most: int = 14, hard: int = 24, most_s: float = 6.0, least_s: float = 1.2) -> list[list[int]]:
@@ -145,16 +148,12 @@ def sentence_buckets(rows: list[tuple[str, float, float]], soft: int = 5, most:
 def sentences(cards_: DataFrame) -> DataFrame:
     """(media_id, i, start_ms, end_ms, text) to sentences, one group a recording."""
 
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i").reset_index(drop=True)
-        rows = list(zip(frame["text"], frame["start_ms"] / 1000, frame["end_ms"] / 1000, strict=True))
-        out = [
-            (frame["media_id"].iloc[0], n, frame["i"][b[0]], frame["i"][b[-1]], frame["start_ms"][b[0]], frame["end_ms"][b[-1]], " ".join(rows[k][0] for k in b))
-            for n, b in enumerate(sentence_buckets(rows))
-        ]
-        return pd.DataFrame(out, columns=["media_id", "sentence", "first", "last", "start_ms", "end_ms", "text"])
+    def group(cards: list[tuple]) -> list[tuple]:
+        rows = [(text, start / 1000, end / 1000) for _, _, start, end, text in cards]
+        return [(*cards[b[0]][:1], n, cards[b[0]][1], cards[b[-1]][1], cards[b[0]][2], cards[b[-1]][3], " ".join(rows[k][0] for k in b)) for n, b in enumerate(sentence_buckets(rows))]
 
-    return cards_.groupBy("media_id").applyInPandas(group, "media_id long, sentence long, first long, last long, start_ms long, end_ms long, text string")
+    schema = "media_id long, sentence long, first long, last long, start_ms long, end_ms long, text string"
+    return in_groups(cards_.select("media_id", "i", "start_ms", "end_ms", "text"), ["media_id"], ["i"], group, schema)
 
 
 def apply_timing(cards_: DataFrame, lead: int, hold: int, glue: int, least: int) -> DataFrame:

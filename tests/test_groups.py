@@ -46,3 +46,10 @@ def test_lengths_of_exports_are_rounded_as_their_sql_does(spark, duck, tmp_path)
     spark.sql("SELECT 7L AS c_custkey, 36.72D AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
     got = spark_rows(Q["export_pairs"](spark, str(tmp_path)))
     assert got == duck(SQL["export_pairs"], str(tmp_path)) and got[1] == [(1, 7, "clip7", None)]
+
+
+@pytest.mark.parametrize("name", ["segment_cards", "long_cards", "sentences", "zoom_choice", "clip_boundaries", "break_alignment"])
+def test_queries_of_recordings_make_no_frame_a_group(spark, name):
+    from chronoloom.plans.catalog import QUERIES
+
+    assert not by_frames(QUERIES[name](spark, "/root/testdata/sf0.001"))
