@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.operators.groups import in_groups
 from chronoloom.operators.intervals import kept_positions, merge_ranges
 
 #: Ms on each side of a cut, of a pause between two kept phrases, and the share of it before the cut in hundredths.
@@ -119,17 +119,18 @@ def chosen_zooms(plan: DataFrame, ranges: DataFrame, per_minute: float, least_ga
     apart = F.col("kept_ms") - F.lag("kept_ms").over(time) >= least_gap_ms
     marked = placed.withColumn("new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn("stretch", F.sum("new").over(time.rowsBetween(W.unboundedPreceding, 0)))
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+    def choose(rows: list[tuple]) -> list[tuple]:
         taken: list[int] = []
-        kept: list[int] = []
-        for n, at in frame.sort_values(["probability", "i"], ascending=[False, True])["kept_ms"].items():
-            k = bisect.bisect_left(taken, at)
-            if all(abs(at - other) >= least_gap_ms for other in taken[max(0, k - 1) : k + 1]):
-                taken.insert(k, at)
-                kept.append(n)
-        return frame.loc[kept, ["media_id", "i", "t_ms", "end_ms", "probability"]]
-
-    free = marked.groupBy("media_id", "stretch").applyInPandas(choose, "media_id long, i long, t_ms long, end_ms long, probability double")
+        kept: list[tuple] = []
+        for r in sorted(rows, key=lambda r: (-r[4], r[1])):
+            k = bisect.bisect_left(taken, r[5])
+            if all(abs(r[5] - other) >= least_gap_ms for other in taken[max(0, k - 1) : k + 1]):
+                taken.insert(k, r[5])
+                kept.append(r[:5])
+        return kept
+
+    numbered = marked.select("media_id", "i", "t_ms", "end_ms", F.col("probability").cast("double"), "kept_ms", "stretch")
+    free = in_groups(numbered, ["media_id", "stretch"], ["kept_ms", "i"], choose, "media_id long, i long, t_ms long, end_ms long, probability double")
     quota = ranges.groupBy("media_id").agg(F.bround(F.sum(F.col("end_ms") - F.col("start_ms")) * F.lit(per_minute) / 60_000).alias("quota"))
     best = W.partitionBy("media_id").orderBy(F.desc("probability"), "i")
     return free.join(quota, "media_id").withColumn("place", F.row_number().over(best)).filter("place <= quota").select("media_id", "i", F.col("t_ms").alias("start_ms"), "end_ms")
