@@ -131,9 +131,9 @@ class Profiles:
         return names, scores
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = TRAIN_PER_LANGUAGE) -> Profiles:
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int | None = TRAIN_PER_LANGUAGE) -> Profiles:
     """Profiles from the rows of `df` that have a language. Rows are sampled by a hash of the id,
-    with a rate for each language that leaves about `most` of them. More than `MAX_LANGUAGES`
+    with a rate for each language that leaves about `most` of them; None takes all. More than `MAX_LANGUAGES`
     languages are an error; without any there are no profiles, and all texts are `und`."""
     known = df.filter(F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
@@ -141,8 +141,10 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Profiles([], np.zeros((0, DIMENSIONS)))
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most / v))]), F.col(lang_col))
-    drawn = known.filter(seeded_number(seeded(id_col, SEED)) % 1_000_003 < rate * 1_000_003)
+    drawn = known
+    if most is not None:
+        rate = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most / v))]), F.col(lang_col))
+        drawn = known.filter(seeded_number(seeded(id_col, SEED)) % 1_000_003 < rate * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

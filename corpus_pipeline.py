@@ -7,34 +7,37 @@ rows with the columns of `documents`; the last adds each row's slot and shard.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import fold, seeded_number, table, written
+from chronoloom.llm.common import fold, table, written
 from chronoloom.llm.decontamination import remove_contaminated
 from chronoloom.llm.language_id import UNKNOWN, learn, predict_language
-from chronoloom.llm.mixing import mix_sources, place_in_order
+from chronoloom.llm.mixing import mix_sources
 from chronoloom.llm.near_dedup import keep_one_of_each
 from chronoloom.llm.sharding import N_SHARDS, TABLE_SIZE, assign_shards
 
 
-#: A text goes if it scores lower than all but this share of the held-back training texts of its language do. About
-#: MOST_SCORED texts a language are scored for that, drawn by a hash of id and text; one with fewer than LEAST_SCORED has no such bound.
-LOW, LEAST_SCORED, MOST_SCORED, SEED = 0.001, 1000, 20_000, 41
+#: A text goes if it scores lower than all but this share of the held-back training texts of its language do; a language with fewer than
+#: LEAST_SCORED of them has no such bound. Scores are counted in CELLS cells from 0 to 1 to find the one that holds the bound.
+LOW, LEAST_SCORED, CELLS = 0.001, 1000, 10_000
 
 
 def least_scores(train: DataFrame) -> dict[str, float]:
-    """For each language a score that all but `LOW` of its training texts reach by the profiles of the half they aren't in.
+    """For each language the score that all but `LOW` of its training texts reach by the profiles of the half they aren't in.
 
-    Rows that are named another language by these profiles don't count. Rows that repeat id and text are drawn together.
+    All training texts are learnt from and scored. Rows that are named another language by these profiles don't count.
     """
-    sizes = {r.lang: r.n for r in train.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # `learn` bounds their number
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, MOST_SCORED / n))]), F.col("lang"))
-    drawn = train.filter(seeded_number(place_in_order("doc_id", "text", SEED)) % 1_000_003 < rate * 1_000_003)
     halves = [(fold("doc_id") == k) for k in (0, 2)]
-    scored = [predict_language(drawn.filter(mine), learn(train.filter(other)), name_col="__lang", score_col="__score").select("lang", "__lang", "__score") for mine, other in (halves, halves[::-1])]
-    right = scored[0].union(scored[1]).filter("lang = __lang").groupBy("lang")
-    found = right.agg(F.count("*").alias("n"), F.percentile("__score", LOW).alias("least")).filter(F.col("n") >= LEAST_SCORED)
-    return {r.lang: r.least for r in found.collect()}
+    scored = [predict_language(train.filter(mine), learn(train.filter(other), most=None), name_col="__lang", score_col="__score").select("lang", "__lang", "__score") for mine, other in (halves, halves[::-1])]
+    right = scored[0].union(scored[1]).filter("lang = __lang")
+    counts = written(right.groupBy("lang", "__score").agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col("__score") * CELLS)), "language-scores")
+    upto = lambda order: W.partitionBy("lang").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy("lang"))).withColumn("to", F.sum("n").over(upto("cell")))
+    place = F.floor(F.col("all") * LOW)
+    holding = cells.filter((F.col("all") >= LEAST_SCORED) & (F.col("to") > place) & (F.col("to") - F.col("n") <= place)).select("lang", "cell", (place - F.col("to") + F.col("n")).alias("before"))
+    near = counts.join(F.broadcast(holding), ["lang", "cell"]).withColumn("to", F.sum("n").over(upto("__score")))  # a cell a language
+    return {r.lang: r.least for r in near.filter("to > before").groupBy("lang").agg(F.min("__score").alias("least")).collect()}  # `learn` bounds their number
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Where no training row has a language, all texts with letters stay. An empty table gives an empty one.
     """
     train = docs.filter(fold("doc_id") != 1)
-    profiles = learn(train)
+    profiles = learn(train, most=None)
     if not profiles.names:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = predict_language(docs, profiles, name_col="__lang", score_col="__score").filter(F.col("__lang") != UNKNOWN)
@@ -94,7 +97,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Sampled signatures and learned profiles are beyond SQL; tests hold the stages against brute force.
+#: Signatures and learned profiles are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

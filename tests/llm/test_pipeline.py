@@ -141,3 +141,23 @@ def test_odd_rows_and_more_columns(spark, tmp_path):
         assert out.columns == docs.columns
         out.collect()
     assert corpus_pipeline.run(spark, folder).count() >= 1
+
+
+def test_bounds_come_from_all_training_texts(spark, monkeypatch):
+    """Each held-back text counts, equal ones each for themselves, whatever their number."""
+    from pyspark.sql import functions as F
+
+    from chronoloom.llm.common import fold
+    from chronoloom.llm.language_id import learn, predict_language
+
+    monkeypatch.setattr(corpus_pipeline, "LOW", 0.05)
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORED", 50)
+    rng = random.Random(5)
+    rows = [(i, " ".join(prose(rng.randint(3, 30), rng)) if i % 4 else "the same words", "en", "a", 0) for i in range(150)]
+    train = spark.createDataFrame(rows, DOCS).filter(fold("doc_id") != 1)
+    scores = []
+    for mine, other in ((0, 2), (2, 0)):
+        profiles = learn(train.filter(fold("doc_id") == other), most=None)
+        scores += [r.score for r in predict_language(train.filter(fold("doc_id") == mine), profiles).select(F.col("score")).collect()]
+    scores.sort()
+    assert corpus_pipeline.least_scores(train) == {"en": scores[int(len(scores) * 0.05)]}
