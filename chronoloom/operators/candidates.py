@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.text import ends_sentence
+from chronoloom.operators.groups import in_groups
 from chronoloom.operators.joins import as_of, within
 
 MERGE_MS, EDGE_MS = 3000, 1000
@@ -116,14 +117,13 @@ def grid_points(start: float, end: float, candidates: list[tuple[float, float]],
 def clip_boundaries(candidates: DataFrame, spans: DataFrame, least: float = 70, target: float = 150, most: float = 240) -> DataFrame:
     """(media_id, t_ms): the boundaries of each recording's clips; none where no way exists. Scores are thousandths."""
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = rows[rows["t_ms"].notna()]
-        points = grid_points(rows["span_start"].iloc[0] / 1000, rows["span_end"].iloc[0] / 1000, list(zip(found["t_ms"] / 1000, found["score"] / 1000, strict=True)))
+    def solve(rows: list[tuple]) -> list[tuple]:
+        points = grid_points(rows[0][1] / 1000, rows[0][2] / 1000, [(t / 1000, score / 1000) for _, _, _, t, score in rows if t is not None])
         path = best_boundaries([t for t, _ in points], [x for _, x in points], least, target, most) or []
-        return pd.DataFrame({"media_id": [key[0]] * len(path), "t_ms": [round(points[i][0] * 1000) for i in path]})
+        return [(rows[0][0], round(points[i][0] * 1000)) for i in path]
 
-    rows = spans.join(candidates.select("media_id", "t_ms", "score"), "media_id", "left")
-    return rows.groupBy("media_id").applyInPandas(solve, "media_id long, t_ms long")
+    rows = spans.select("media_id", "span_start", "span_end").join(candidates.select("media_id", "t_ms", "score"), "media_id", "left")
+    return in_groups(rows, ["media_id"], ["t_ms"], solve, "media_id long, t_ms long")
 
 
 def top_clips(clips: DataFrame, n: int) -> DataFrame:
