@@ -71,13 +71,23 @@ def decisions(words: DataFrame, model, min_words: int, max_words: int, max_card_
     """(media_id, place, i, next): for each gap the state after it by the state before, `next[n]` for a card of n + 1 words: 1 if the
     card ends, else a word more."""
     order = W.partitionBy("media_id").orderBy("i")
-    lags = [F.struct(F.lit(c).alias("n"), F.lag("start_ms", c - 1).over(order).alias("began_ms"), F.lag(F.col("chars") - F.col("own_chars"), c - 1).over(order).alias("before")) for c in range(1, max_words + 1)]
-    cases = gap_rows(words).withColumn("cards", F.array(*lags)).filter("followed").withColumn("c", F.explode("cards")).filter("c.began_ms IS NOT NULL")
-    rows = cases.select("media_id", "place", "i", F.col("c.n").alias("n"), (F.col("end_ms") - F.col("c.began_ms")).alias("lasts"), features(F.col("c.n"), F.col("c.began_ms"), F.col("c.before")).alias("x"))
-    scored = probabilities(model, rows)
-    ends = F.when(F.col("n") < min_words, False).when((F.col("n") >= max_words) | (F.col("lasts") >= max_card_ms), True).otherwise(F.col("probability") >= threshold)
-    step = scored.select("media_id", "place", "i", "n", F.when(ends, 1).otherwise(F.least(F.col("n") + 1, F.lit(max_words))).alias("to"))
-    return step.groupBy("media_id", "place", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "to"))), lambda s: s["to"]).alias("next"))
+    rows = gap_rows(words)
+    before = F.col("chars") - F.col("own_chars")
+    cards = [F.struct(F.lag("start_ms", c - 1, 0).over(order).alias("began_ms"), F.lag(before, c - 1, 0).over(order).alias("before")).alias(f"card_{c}") for c in range(1, max_words + 1)]
+    rows, nexts = rows.select("*", *cards).filter("followed"), []
+    for c in range(1, max_words + 1):  # a column a state: a gap stays one row, which is neither multiplied nor gathered again
+        card = F.col(f"card_{c}")
+        rows = probabilities(model, rows.withColumn("x", features(F.lit(c), card["began_ms"], card["before"])))
+        if c < min_words:
+            ends = F.lit(False)
+        elif c >= max_words:
+            ends = F.lit(True)
+        else:
+            ends = (F.col("end_ms") - card["began_ms"] >= max_card_ms) | (F.col("probability") >= threshold)
+        rows = rows.withColumn(f"next_{c}", F.when(ends, 1).otherwise(min(c + 1, max_words)).cast("smallint")).drop("x", "probability", f"card_{c}")
+        nexts.append(f"next_{c}")
+    known = F.slice(F.array(*nexts), 1, F.least(F.col("place") + 1, F.lit(max_words)).cast("int"))
+    return rows.select("media_id", "place", "i", known.alias("next"))
 
 
 def card_ends(steps: DataFrame, max_words: int, stretch: int = STRETCH) -> DataFrame:

@@ -88,5 +88,6 @@ def tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def styled_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All recordings cut into cards by the tree."""
     words = V.words_once(spark, sf_dir)
-    model = models.train_classifier(T.gap_examples(words, user_cards(words)).filter("media_id % 4 <> 3"), 6, 15)
+    examples = V.settled(T.gap_examples(words, user_cards(words)).filter("media_id % 4 <> 3").select("x", "y"))
+    model = models.train_classifier(examples, 6, 15)
     return T.styled_cards(words, T.card_ends(V.settled(T.decisions(words, model, **LIMITS)), LIMITS["max_words"]))

@@ -106,3 +106,12 @@ def test_decisions_are_those_of_the_loop(spark, monkeypatch, least, most, most_m
 def test_a_tree_learns_where_cards_end(spark):
     f1 = {r.part: r.f1 for r in plans.tree_model(spark, "/root/testdata/sf0.01").collect()}
     assert set(f1) == {"train", "test"} and all(v > 7000 for v in f1.values())
+
+
+def test_a_gap_stays_one_row_whatever_the_states(spark):
+    words = spark.createDataFrame(recording(5, 60), WORDS)
+    steps = style.decisions(words, None, 1, 14, 8000)
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # 14 rows a gap were sorted, and spilled, to be gathered again
+    rows = steps.orderBy("place").collect()
+    assert [len(r.next) for r in rows] == [min(k + 1, 14) for k in range(59)]
