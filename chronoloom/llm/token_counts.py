@@ -4,7 +4,7 @@ The tokenizer file (byte-level BPE whose words end in a mark) is compiled into a
 transducer over characters. A state knows the kind of run it is in and, for the word so far,
 which vocabulary entries could still be going on, with the token before each; that is enough
 to say how many tokens any continuation adds. Each transition carries the number it adds to the
-count. States are compiled when first reached, kept by what they know, and dropped all at once
+count. A blank leads to the start from everywhere, so what a word between blanks adds is kept, too, as one transition. States are compiled when first reached, kept by what they know, and dropped all at once
 when there are too many, so memory is bounded; the start state is always there.
 
 Why a state suffices: in BPE, the tokens of a prefix of a word are the tokens of a shorter
@@ -42,6 +42,8 @@ CHUNK = 1 << 15
 ARITY, ROUNDS = 64, 3
 #: Compiled transitions a worker keeps, some 100 bytes each.
 MAX_TRANSITIONS = 600_000
+#: Transitions by a whole word that a worker keeps, and the longest such word.
+MAX_WORDS, WORD = 200_000, 32
 OVER = 2048
 
 #: White space to the tokenizer's normaliser (fixed values: the Unicode property White_Space).
@@ -147,10 +149,27 @@ class State(dict):
         return found
 
 
+class Words(dict):
+    """Tokens added from the start by a word and the blank or end behind it, which lead to the start again."""
+
+    __slots__ = ("machine",)
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+
+    def __missing__(self, word: str) -> int:
+        n = self.machine.walk(word)
+        if len(word) <= WORD:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class Transducer:
     def __init__(self, path: str):
         self.bpe = Bpe(path)
-        self.transitions, self.known = 0, {}
+        self.transitions, self.known, self.words = 0, {}, Words(self)
         self.start = self.state("", (), -1)
         special = sorted(map(re.escape, self.bpe.special), key=len, reverse=True)
         self.special = re.compile("|".join(special)) if special else None
@@ -228,7 +247,11 @@ class Transducer:
             self.transitions = 0
 
     def run(self, text: str) -> int:
-        """Tokens of normalised text without special strings."""
+        """Tokens of normalised text without special strings; its words between blanks are known or walked."""
+        return sum(map(self.words.__getitem__, text.split(" ")))
+
+    def walk(self, text: str) -> int:
+        """Tokens of normalised text, character by character."""
         state, n = self.start, 0
         for ch in text:
             state, more = state[ch]

@@ -58,6 +58,16 @@ def test_chunk_maps_compose_in_any_order(vocabulary):
         assert machine.applied(maps[0]) == machine.count(text)
 
 
+def test_a_word_is_walked_once_and_known_words_are_bounded(monkeypatch, vocabulary):
+    machine = token_counts.Transducer(vocabulary)
+    walked, walk = [], machine.walk
+    monkeypatch.setattr(machine, "walk", lambda text: walked.append(text) or walk(text), raising=False)
+    text = "the ox's  fine, they'll see 42 x1 " * 50 + "z" * 100
+    assert machine.count(text) == walk(text) and len(walked) == len(set(text.split(" ")))
+    monkeypatch.setattr(token_counts, "MAX_WORDS", 3)
+    assert machine.count("p q r s t " * 4) == walk("p q r s t " * 4) and len(machine.words) <= 3
+
+
 def test_states_can_be_dropped(vocabulary, monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 50)
     machine = token_counts.Transducer(vocabulary)
