@@ -1,13 +1,17 @@
 """Projects as graphs of objects: references, repeated blobs, tracks, exports, edits; files that can't be read."""
 
+import base64
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.operators import projects as P
+from chronoloom.plans import projects as queries
 from chronoloom.plans.projects import FONT, ProjectFile
-from chronoloom.sources.projects import NODE, project_nodes
+from chronoloom.sources.projects import NODE, project_nodes, whole_blob_text
+from tests.conftest import spark_rows
 
 TICKS = 254_016_000
 
@@ -127,3 +131,24 @@ def test_imported_subtitles(spark):
     xml = b"<R><M ObjectUID='1'><FilePath>\\\\?\\C:\\a\\One.srt</FilePath></M><M ObjectUID='2'><FilePath>/b/One.SRT</FilePath></M><M ObjectUID='3'><X><FilePath>/c/two.srt</FilePath></X></M><M ObjectUID='4'><FilePath>/c/x.mp4</FilePath></M></R>"
     got = sorted((r.name, r.file) for r in P.imported_subtitles(nodes_of(spark, p=gzip.compress(xml))).collect())
     assert got == [("One", "C:\\a\\One.srt"), ("two", "/c/two.srt")]
+
+
+def test_whole_texts_of_any_length_and_characters_and_none_for_what_cannot_be_read(spark):
+    f = ProjectFile()
+    assert all(whole_blob_text(base64.b64decode(ProjectFile().blob("A", "y" * n).split("\n")[1])) == "y" * n for n in range(1, 3000))
+    texts = ["x" * 2000, "x" * 2001, "é" * 70_000, "no break​here", "a b \u0085", "\U0001f469‍\U0001f469", "z"]
+    items = [f.graphic(k, 1000 * k, 1000 * k + 900, t) for k, t in enumerate(texts)]
+    both = f.add("VideoComponentChain", "both", f"<ComponentChain><Components>{f.refs('Component', ['x0', 'x6'])}</Components></ComponentChain>")
+    items.append(f.item("VideoClipTrackItem", "item", 8000, 8900, f'<ComponentOwner><Components ObjectRef="{both}"/></ComponentOwner>'))
+    bad = base64.b64encode(b"\x0c\0\0\0\0\0\x06\0\5\0\0\0Arial\0\0\0\2\0\0\0\xff\xfe\0\0").decode()
+    f.objects = [x if 'ObjectID="p6"' not in x else re.sub(r">\n.*\n<", f">{bad}<", x) for x in f.objects]
+    f.sequence("S", [("Video", [items], "")])
+    got = [tuple(r) for r in P.project_cards(nodes_of(spark, p=f), whole=True).orderBy("start").select("start", "text").collect()]
+    assert got == [(float(k), t) for k, t in enumerate(texts[:6])] + [(6.0, None), (8.0, None)]
+
+
+def test_the_query_shows_whole_texts(spark, duck, tmp_path):
+    text = " ".join(["palavra"] * 300) + " zero​width"
+    spark.createDataFrame([(m, t, "user", text if t else "curto") for m in (0, 3) for t in range(2)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = spark_rows(queries.project_captions(spark, str(tmp_path)))
+    assert got == duck(queries.SQL["project_captions"], str(tmp_path)) and {r[got[0].index("text")] for r in got[1]} == {"curto", text}
